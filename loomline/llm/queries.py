@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.llm import leaks, neardup, pieces, sampling, splits
+from loomline.llm import bpe, leaks, neardup, pieces, sampling, splits
 from loomline.llm import sql as S
 from loomline.plans.registry import Registry
 from loomline.session import cut_lineage
@@ -75,3 +75,17 @@ def p8_found(spark, d):
 def p8_items(spark, d):
     passages = table(spark, d, "eval_passages")
     return leaks.leak_report(leaks.leaked(table(spark, d, "documents"), passages), passages)
+
+
+@REGISTRY.query("p7_ids")
+def p7_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"))
+
+
+@REGISTRY.query("p7_changed")
+def p7_changed(spark, d):
+    """Documents whose text is not what its ids decode to: none."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = bpe.encode(docs)
+    back = ids.select("doc_id", bpe.decode(ids).alias("back"))
+    return docs.join(back, "doc_id").where("text <> back").select("doc_id")
