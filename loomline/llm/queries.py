@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, leaks, neardup, pieces, sampling, splits
+from loomline.llm import bpe, garbled, leaks, neardup, pieces, sampling, splits
 from loomline.llm import sql as S
 from loomline.plans.registry import Registry
 from loomline.session import cut_lineage
@@ -89,3 +89,17 @@ def p7_changed(spark, d):
     ids = bpe.encode(docs)
     back = ids.select("doc_id", bpe.decode(ids).alias("back"))
     return docs.join(back, "doc_id").where("text <> back").select("doc_id")
+
+
+def _texts(spark, d):
+    return {"documents": (table(spark, d, "documents"), "doc_id"), "chunks": (table(spark, d, "chunks"), "chunk_id")}
+
+
+@REGISTRY.query("p6_found")
+def p6_found(spark, d):
+    return garbled.garbled(_texts(spark, d)).select("table_name", "record_id").distinct()
+
+
+@REGISTRY.query("p6_restored")
+def p6_restored(spark, d):
+    return garbled.garbled(_texts(spark, d))
