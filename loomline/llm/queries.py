@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, garbled, leaks, neardup, pieces, sampling, splits
+from loomline.llm import abuse, bpe, garbled, leaks, neardup, pieces, sampling, splits
 from loomline.llm import sql as S
 from loomline.plans.registry import Registry
 from loomline.session import cut_lineage
@@ -103,3 +103,18 @@ def p6_found(spark, d):
 @REGISTRY.query("p6_restored")
 def p6_restored(spark, d):
     return garbled.garbled(_texts(spark, d))
+
+
+@REGISTRY.query("p9_found")
+def p9_found(spark, d):
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels")).where("abusive").select("doc_id").distinct()
+
+
+@REGISTRY.query("p9_scores")
+def p9_scores(spark, d):
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+
+
+@REGISTRY.query("p9_rates")
+def p9_rates(spark, d):
+    return abuse.rates(abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels")))
