@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used for fitting, at most; in how many of them an n-gram must occur.
-MOST_LABELLED, LEAST_DOCS = 8000, 3
-#: Shares of labels that are wrong (assumed), the strength of the penalty, and steps of the fit.
-NOISE, PENALTY, STEPS = 0.08, 0.02, 300
+#: Labelled documents used for fitting, at most, and at most as many others, which stand for texts without abuse.
+MOST_LABELLED = 5000
+#: An n-gram has a weight if it is in LEAST_DOCS texts with votes for abuse and RATIO times as frequent there as elsewhere.
+LEAST_DOCS, RATIO = 2, 3.0
+#: Shares of grades that are wrong (assumed), the strength of the penalty, and steps of the fit.
+NOISE, PENALTY, STEPS = 0.08, 0.5, 300
 GRADES = 3  # 0 no vote for abuse, 1 votes that contradict each other, 2 all votes for abuse
 _BASE, _BACK, _CHUNK, _BITS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 1 << 21, 24
 #: Letters of other alphabets and signs that look like Latin ones.
@@ -109,6 +111,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * powers[: len(codes)])])
     words = (sums[ends] - sums[starts]) * inverses[starts]
+    digits = np.concatenate([[0], np.cumsum((codes >= 48) & (codes <= 57))])
+    words[digits[ends] - digits[starts] == ends - starts] = 1  # all numbers are one word
     words ^= words >> np.uint64(31)
     words *= np.uint64(0xBF58476D1CE4E5B9)
     blank = np.concatenate([codes[1:] <= 32, [True]])
@@ -157,8 +161,7 @@ class SeverityModel:
         at = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
         right = self.keys[at] == grams[hit] if len(self.keys) else np.zeros(0, bool)
         scores = np.bincount(sentence[hit[right]], self.weights[at[right]], n) if n else np.zeros(0)
-        below = [np.bincount(text, -np.logaddexp(0, scores - c), len(texts)) for c in self.cuts] if n else [np.zeros(len(texts))] * 2
-        return sum(1 - np.exp(b) for b in below)
+        return _expected(scores, text, self.cuts, len(texts)) if n else np.zeros(len(texts))
 
 
 def _fit(keys_at: np.ndarray, sentence: np.ndarray, text: np.ndarray, grades: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,55 +192,71 @@ def _fit(keys_at: np.ndarray, sentence: np.ndarray, text: np.ndarray, grades: np
 
 
 def train(documents: DataFrame, labels: DataFrame) -> SeverityModel:
-    """The model of MOST_LABELLED labelled documents, taken by hash of the id where there are more.
+    """The model of MOST_LABELLED labelled documents and as many without votes, taken by hash of the id.
 
-    Votes that are null are left out. Without any vote, or only of one kind, nothing is abusive.
+    Few documents are abusive, so those without votes stand for grade 0, with some noise, as the votes have it too. Votes
+    that are null are left out. Without any vote, or only of one kind, nothing is abusive.
     """
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
-    votes = votes.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(MOST_LABELLED).drop("h")
-    grade = F.when(F.col("share") <= 0, 0).when(F.col("share") >= 1, 2).otherwise(1).alias("grade")
-    known = documents.where("text is not null").select("doc_id", "text").join(votes, "doc_id").select("doc_id", grade, "text")
-    rows = known.dropDuplicates(["doc_id"]).orderBy("doc_id").select("grade", "text").collect()
-    grades = np.array([r[0] for r in rows], int)
+    grade = F.when(F.col("share") <= 0, 0).when(F.col("share") >= 1, 2).otherwise(1)
+    h = F.xxhash64("doc_id", F.lit(3)).alias("h")
+    taken = votes.orderBy(h, "doc_id").limit(MOST_LABELLED)
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    known = texts.join(taken, "doc_id").select("doc_id", grade.alias("grade"), "text").dropDuplicates(["doc_id"]).collect()
+    others = texts.join(votes, "doc_id", "left_anti").orderBy(h, "doc_id").limit(len(known))
+    rows = sorted([tuple(r) for r in known] + [(k, 0, t) for k, t in others.collect()])
+    return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
+
+
+def _expected(scores: np.ndarray, text: np.ndarray, cuts: np.ndarray, docs: int) -> np.ndarray:
+    """Expected severity of each text from the scores of its sentences."""
+    return sum(1 - np.exp(np.bincount(text, -np.logaddexp(0, scores - c), docs)) for c in cuts)
+
+
+def fit(rows: list[str], grades: np.ndarray) -> SeverityModel:
+    """The model of some texts and their grades."""
     nothing = SeverityModel(np.zeros(1, np.uint64), np.zeros(1), np.array([30.0, 31.0]), 1.0)
     if not len(rows) or not (grades == 0).any() or not (grades == 2).any():
         return nothing
-    grams, sentence, text, _ = _grams([r[1] for r in rows])
-    # an n-gram counts once a sentence, and must be in LEAST_DOCS texts
-    order = np.lexsort((sentence, grams))
-    grams, sentence = grams[order], sentence[order]
-    once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (sentence[1:] != sentence[:-1])])
-    grams, sentence = grams[once], sentence[once]
-    docs = text[sentence]
+    parts, begin, size = [], 0, 0
+    for i, t in enumerate(rows):
+        size += len(t) + 1
+        if size >= _CHUNK or i == len(rows) - 1:
+            grams, sentence, text, n = _grams(rows[begin : i + 1])
+            parts.append((grams, sentence, text + begin, n))
+            begin, size = i + 1, 0
+    first = np.cumsum([0, *(p[3] for p in parts)])
+    grams = np.concatenate([p[0] for p in parts])
+    sentence = np.concatenate([p[1] + f for p, f in zip(parts, first[:-1], strict=True)])
+    text = np.concatenate([p[2] for p in parts])
+    # texts of each n-gram with votes for abuse, and without
     keys, at = np.unique(grams, return_inverse=True)
-    pair = np.unique(at.astype(np.int64) * (len(rows) + 1) + docs)
-    count = np.bincount(pair // (len(rows) + 1), minlength=len(keys))
-    kept = np.flatnonzero(count >= LEAST_DOCS)
-    place = np.full(len(keys), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[at] >= 0
+    pair = np.unique(at.astype(np.int64) * len(rows) + text[sentence])
+    bad = grades > 0
+    yes = np.bincount(pair // len(rows), bad[pair % len(rows)], len(keys))
+    no = np.bincount(pair // len(rows), minlength=len(keys)) - yes
+    ratio = (yes / bad.sum()) / ((no + 0.5) / ((~bad).sum() + 0.5))
+    kept = np.flatnonzero((yes >= LEAST_DOCS) & (ratio >= RATIO))
     if not len(kept):
         return nothing
-    at, sentence = place[at[use]], sentence[use]
-    # the bound of what counts as abusive comes from texts that the weights were not fitted to
-    fold, held = np.arange(len(rows)) % 4, np.zeros(len(rows))
-    for f in range(4):
+    place = np.full(len(keys), -1)
+    place[kept] = np.arange(len(kept))
+    use = np.flatnonzero(place[at] >= 0)
+    one = np.unique(sentence[use].astype(np.int64) * len(kept) + place[at[use]])  # an n-gram counts once a sentence
+    sentence, at = one // len(kept), one % len(kept)
+    # what counts as abusive is decided on texts that the weights were not fitted to
+    fold, held = np.arange(len(rows)) % 3, np.zeros(len(rows))
+    for f in range(3):
         inner = fold[text] != f
-        renumber = np.cumsum(inner) - 1
-        docs_in = np.flatnonzero(fold != f)
-        number = np.full(len(rows), -1)
-        number[docs_in] = np.arange(len(docs_in))
+        renumber, number = np.cumsum(inner) - 1, np.cumsum(fold != f) - 1
         mine = inner[sentence]
-        w, cuts = _fit(at[mine], renumber[sentence[mine]], number[text[inner]], grades[docs_in], len(kept))
-        s = np.bincount(sentence, w[at], len(text))
-        e = sum(1 - np.exp(np.bincount(text, -np.logaddexp(0, s - c), len(rows))) for c in cuts)
-        held[fold == f] = e[fold == f]
+        w, cuts = _fit(at[mine], renumber[sentence[mine]], number[text[inner]], grades[fold != f], len(kept))
+        scores = np.bincount(sentence, w[at], len(text))
+        held[fold == f] = _expected(scores, text, cuts, len(rows))[fold == f]
     w, cuts = _fit(at, sentence, text, grades, len(kept))
-    bad = grades > 0
     tries = np.linspace(0.3, 1.7, 29)
-    f1 = [2 * (bad & (held >= t)).sum() / max(1, bad.sum() + (held >= t).sum()) for t in tries]
-    best = tries[np.array(f1) >= max(f1) - 1e-9]
-    return SeverityModel(keys[kept], w, cuts, float(np.median(best)))
+    f1 = np.array([2 * (bad & (held >= t)).sum() / max(1, bad.sum() + (held >= t).sum()) for t in tries])
+    return SeverityModel(keys[kept], w, cuts, float(np.median(tries[f1 >= f1.max() - 0.005])))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
