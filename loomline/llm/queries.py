@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.llm import abuse, bpe, garbled, leaks, neardup, pieces, sampling, splits
+from loomline.llm import abuse, bpe, garbled, leaks, matching, neardup, pieces, sampling, splits
 from loomline.llm import sql as S
 from loomline.plans.registry import Registry
 from loomline.session import cut_lineage
@@ -118,3 +118,14 @@ def p9_scores(spark, d):
 @REGISTRY.query("p9_rates")
 def p9_rates(spark, d):
     return abuse.rates(abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels")))
+
+
+@REGISTRY.query("p1_found")
+def p1_found(spark, d):
+    found = matching.matches(table(spark, d, "candidate_sources_p0"), table(spark, d, "metadata"))
+    return found.select("candidate_doc_id", "metadata_doc_id")
+
+
+@REGISTRY.query("p1_confidence")
+def p1_confidence(spark, d):
+    return matching.matches(table(spark, d, "candidate_sources_p0"), table(spark, d, "metadata"))
