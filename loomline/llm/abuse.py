@@ -25,7 +25,7 @@ LEAST_DOCS, RATIO = 2, 3.0
 #: Shares of grades that are wrong (assumed), the strength of the penalty, and steps of the fit.
 NOISE, PENALTY, STEPS = 0.08, 0.5, 300
 GRADES = 3  # 0 no vote for abuse, 1 votes that contradict each other, 2 all votes for abuse
-_BASE, _BACK, _CHUNK, _BITS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 1 << 21, 24
+_BASE, _BACK, _CHUNK, _BITS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 1 << 19, 24
 #: Letters of other alphabets and signs that look like Latin ones.
 _LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ӏ": "l", "α": "a", "ο": "o", "ι": "i"}
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -147,21 +147,19 @@ class SeverityModel:
 
     def severity(self, texts: list[str]) -> np.ndarray:
         """Expected severity of each text, from 0 to GRADES - 1."""
-        out, begin, size = np.zeros(len(texts)), 0, 0
-        for i, t in enumerate(texts):  # pieces of bounded size
-            size += len(t) + 1
-            if size >= _CHUNK or i == len(texts) - 1:
-                out[begin : i + 1] = self._some(texts[begin : i + 1])
-                begin, size = i + 1, 0
+        out = np.zeros(len(texts))
+        for at, (grams, sentence, text, n) in _pieces(texts):
+            if n:
+                docs = int(text[-1]) + 1
+                out[at : at + docs] = self._some(grams, sentence, text, n, docs)
         return out
 
-    def _some(self, texts: list[str]) -> np.ndarray:
-        grams, sentence, text, n = _grams(texts)
+    def _some(self, grams: np.ndarray, sentence: np.ndarray, text: np.ndarray, n: int, docs: int) -> np.ndarray:
         hit = np.flatnonzero(self.maybe[grams >> np.uint64(64 - _BITS)])
         at = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
         right = self.keys[at] == grams[hit] if len(self.keys) else np.zeros(0, bool)
-        scores = np.bincount(sentence[hit[right]], self.weights[at[right]], n) if n else np.zeros(0)
-        return _expected(scores, text, self.cuts, len(texts)) if n else np.zeros(len(texts))
+        scores = np.bincount(sentence[hit[right]], self.weights[at[right]], n)
+        return _expected(scores, text, self.cuts, docs)
 
 
 def _fit(keys_at: np.ndarray, sentence: np.ndarray, text: np.ndarray, grades: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +206,16 @@ def train(documents: DataFrame, labels: DataFrame) -> SeverityModel:
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, tuple]]:
+    """(index of the first text, its _grams) of pieces of bounded size."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= _CHUNK or i == len(texts) - 1:
+            yield begin, _grams(texts[begin : i + 1])
+            begin, size = i + 1, 0
+
+
 def _expected(scores: np.ndarray, text: np.ndarray, cuts: np.ndarray, docs: int) -> np.ndarray:
     """Expected severity of each text from the scores of its sentences."""
     return sum(1 - np.exp(np.bincount(text, -np.logaddexp(0, scores - c), docs)) for c in cuts)
@@ -218,21 +226,24 @@ def fit(rows: list[str], grades: np.ndarray) -> SeverityModel:
     nothing = SeverityModel(np.zeros(1, np.uint64), np.zeros(1), np.array([30.0, 31.0]), 1.0)
     if not len(rows) or not (grades == 0).any() or not (grades == 2).any():
         return nothing
-    parts, begin, size = [], 0, 0
-    for i, t in enumerate(rows):
-        size += len(t) + 1
-        if size >= _CHUNK or i == len(rows) - 1:
-            grams, sentence, text, n = _grams(rows[begin : i + 1])
-            parts.append((grams, sentence, text + begin, n))
-            begin, size = i + 1, 0
-    first = np.cumsum([0, *(p[3] for p in parts)])
-    grams = np.concatenate([p[0] for p in parts])
-    sentence = np.concatenate([p[1] + f for p, f in zip(parts, first[:-1], strict=True)])
-    text = np.concatenate([p[2] for p in parts])
+    bad = grades > 0
+    # counts by hash first, so that n-grams that can't count are never held
+    shift, counts = np.uint64(64 - _BITS + 2), np.zeros((2, 1 << (_BITS - 2)), np.uint16)
+    for at, (grams, sentence, text, _) in _pieces(rows):
+        pair = np.unique((grams >> shift).astype(np.int64) * len(rows) + (text + at)[sentence])
+        np.add.at(counts, (bad[pair % len(rows)].astype(int), pair // len(rows)), 1)
+    wanted = (counts[1] >= LEAST_DOCS) & (counts[1] / bad.sum() >= RATIO * counts[0] / max(1, (~bad).sum()))
+    parts, begin = [], 0
+    for at, (grams, sentence, text, n) in _pieces(rows):
+        hit = wanted[grams >> shift]
+        parts.append((grams[hit], sentence[hit] + begin, text + at))
+        begin += n
+    grams, sentence, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    if not len(grams):
+        return nothing
     # texts of each n-gram with votes for abuse, and without
     keys, at = np.unique(grams, return_inverse=True)
     pair = np.unique(at.astype(np.int64) * len(rows) + text[sentence])
-    bad = grades > 0
     yes = np.bincount(pair // len(rows), bad[pair % len(rows)], len(keys))
     no = np.bincount(pair // len(rows), minlength=len(keys)) - yes
     ratio = (yes / bad.sum()) / ((no + 0.5) / ((~bad).sum() + 0.5))
