@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans.registry import Registry
+from loomline.plans import corpus_queries, retrieval_queries, text_queries  # noqa: F401
+from loomline.plans.shared import REGISTRY
 
-REGISTRY = Registry()
+__all__ = ["REGISTRY"]
