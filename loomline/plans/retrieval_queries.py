@@ -10,7 +10,7 @@ from loomline.operators import retrieval as R
 from loomline.operators import segments
 from loomline.plans.shared import REGISTRY
 from loomline.plans.text_queries import _SENTENCES
-from loomline.sources.tables import table
+from loomline.sources.tables import table, texts
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -36,17 +36,17 @@ def _rank(source: str, k: int, columns: str = "qid, doc_id, score") -> str:
 
 
 def _scores(spark, d):
-    return R.bm25(table(spark, d, "retrieval_eval"), table(spark, d, "documents"), "qid", F.col("question"), "doc_id", R.index_text())
+    return R.bm25(table(spark, d, "retrieval_eval"), texts(spark, d, "documents"), "qid", F.col("question"), "doc_id", R.index_text())
 
 
 @REGISTRY.query("term_stats", f"WITH {_STATS} SELECT term, df, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM st")
 def term_stats(spark, d):
-    return R.term_stats(table(spark, d, "documents"), "doc_id", R.index_text()).withColumn("idf", round6(F.col("idf")))
+    return R.term_stats(texts(spark, d, "documents"), "doc_id", R.index_text()).withColumn("idf", round6(F.col("idf")))
 
 
 @REGISTRY.query("index_postings", f"WITH d AS (SELECT doc_id, {_words(_TEXT)} AS w FROM documents) SELECT doc_id, term, CAST(dl AS INT) AS dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL")
 def index_postings(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", R.index_text())
+    return R.postings(texts(spark, d, "documents"), "doc_id", R.index_text())
 
 
 @REGISTRY.query("bm25_topk", f"WITH {_BM25} {_rank('s', 10)}")
@@ -61,7 +61,7 @@ _TF = f"""f AS (SELECT doc_id, 1 AS n, unnest({_words("coalesce(text, '')")}) AS
 
 
 def _tf(spark, d):
-    return R.term_frequency(table(spark, d, "retrieval_eval"), table(spark, d, "documents"), "qid", F.col("question"), "doc_id")
+    return R.term_frequency(table(spark, d, "retrieval_eval"), texts(spark, d, "documents"), "qid", F.col("question"), "doc_id")
 
 
 @REGISTRY.query("term_frequency_topk", f"WITH {_TF} {_rank('fs', 10)}")
@@ -93,7 +93,7 @@ def weighted_fusion(spark, d):
 
 def _documents_found(spark, d):
     """The first rank of each registered document among the ten best rows of a question."""
-    ids = table(spark, d, "documents").select("doc_id", F.col("ref_doc_id").alias("found"))
+    ids = texts(spark, d, "documents").select("doc_id", F.col("ref_doc_id").alias("found"))
     ranked = R.top_k(_scores(spark, d), "qid", "doc_id", 10).join(ids, "doc_id").where("found is not null")
     return ranked.groupBy("qid", "found").agg(F.min("rank").alias("rank"))
 
@@ -112,7 +112,7 @@ def retrieval_metrics(spark, d):
 
 @REGISTRY.query("diverse_topk")
 def diverse_topk(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     ranked = R.top_k(_scores(spark, d), "qid", "doc_id", 30).join(docs.select("doc_id", F.array_distinct(words(R.index_text())).alias("terms")), "doc_id")
     return R.diversify(ranked, "qid", "doc_id", 5, 30)
 
@@ -139,7 +139,7 @@ def vector_topk(spark, d):
 def extracted_answers(spark, d):
     """Of the three best documents the three sentences that share most terms with the question."""
     best = R.top_k(_scores(spark, d), "qid", "doc_id", 3).select("qid", "doc_id", F.col("rank").alias("doc_rank"))
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     picked = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
     held = segments.sentences(picked, ["doc_id"]).withColumn("w", F.array_distinct(words(F.col("text"))))
     asked = table(spark, d, "retrieval_eval").select("qid", F.array_distinct(words(F.col("question"))).alias("q"))

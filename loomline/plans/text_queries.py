@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.functions.html import html_text, latex_text
 from loomline.operators import segments
 from loomline.plans.shared import REGISTRY
-from loomline.sources.tables import table
+from loomline.sources.tables import table, texts
 
 _UNESCAPE = "coalesce(text, '')"
 for _e, _r in T.ENTITIES.items():
@@ -30,7 +31,7 @@ for _p, _r in (
 
 @REGISTRY.query("clean_documents", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
 def clean_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return texts(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 _WORD_CLASS = "[a-zA-Z0-9_]"
@@ -39,7 +40,7 @@ _MEND = rf"regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b({'|'.join(T
 
 @REGISTRY.query("mend_hyphens", f"SELECT doc_id, {_MEND} AS mended FROM documents WHERE text IS NOT NULL")
 def mend_hyphens(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.mend_hyphens(F.col("text")).alias("mended"))
+    return texts(spark, d, "documents").where("text is not null").select("doc_id", T.mend_hyphens(F.col("text")).alias("mended"))
 
 
 _MARKERS = ", ".join([f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" for m in T.MARKUP] + [f"CASE WHEN contains(text, '{m}') THEN '{m}' END" for m in T.DAMAGE])
@@ -50,7 +51,7 @@ _MARKERS = ", ".join([f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" f
     f"SELECT doc_id, unnest(list_filter([{_MARKERS}], lambda m: m IS NOT NULL)) AS marker FROM documents WHERE text IS NOT NULL",
 )
 def noise_markers(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(T.noise_markers(F.col("text"))).alias("marker"))
+    return texts(spark, d, "documents").where("text is not null").select("doc_id", F.explode(T.noise_markers(F.col("text"))).alias("marker"))
 
 
 @REGISTRY.query(
@@ -60,7 +61,7 @@ def noise_markers(spark, d):
 )
 def word_counts(spark, d):
     c = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.length(c).cast("bigint").alias("characters"))
+    return texts(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.length(c).cast("bigint").alias("characters"))
 
 
 @REGISTRY.query(
@@ -68,7 +69,7 @@ def word_counts(spark, d):
     "SELECT doc_id, n_chars, CAST(length(text) AS BIGINT) AS characters FROM documents WHERE text IS NOT NULL AND n_chars IS DISTINCT FROM length(text)",
 )
 def stale_lengths(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("characters"))
+    rows = texts(spark, d, "documents").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("characters"))
     return rows.where("characters is not null and not (n_chars <=> characters)")
 
 
@@ -79,7 +80,7 @@ def stale_lengths(spark, d):
     SELECT doc_id, CAST(i + 1 AS INT) AS chunk_index, CAST(i * 800 AS INT) AS start_char, CAST(least(i * 800 + 1000, n) AS INT) AS end_char, substring(text, i * 800 + 1, 1000) AS text FROM s""",
 )
 def document_chunks(spark, d):
-    return segments.chunks(table(spark, d, "documents"), "doc_id")
+    return segments.chunks(texts(spark, d, "documents"), "doc_id")
 
 
 # RE2 has no look-behind: full stops within abbreviations are marked first, and the marks taken out at the end
@@ -93,12 +94,12 @@ _SENTENCES = f"""WITH p AS (SELECT doc_id, list_filter({_SPLIT}, lambda s: s <>
 
 @REGISTRY.query("document_sentences", _SENTENCES)
 def document_sentences(spark, d):
-    return segments.sentences(table(spark, d, "documents"), ["doc_id"])
+    return segments.sentences(texts(spark, d, "documents"), ["doc_id"])
 
 
 @REGISTRY.query("sentence_numbers", f"SELECT doc_id, sentence_index, CAST(row_number() OVER (ORDER BY doc_id, sentence_index) - 1 AS BIGINT) AS number FROM ({_SENTENCES})")
 def sentence_numbers(spark, d):
-    rows = segments.sentences(table(spark, d, "documents"), ["doc_id"]).drop("text")
+    rows = segments.sentences(texts(spark, d, "documents"), ["doc_id"]).drop("text")
     return segments.global_numbers(rows, "doc_id", ["sentence_index"]).select("doc_id", "sentence_index", F.col("number").cast("bigint").alias("number"))
 
 
@@ -109,7 +110,7 @@ def sentence_numbers(spark, d):
     SELECT doc_id, count(*) AS sentences, count(*) FILTER (f = upper(f) AND share >= 0.6 AND NOT regexp_matches(lower(text), 'https?:|```|def |import |\\|')) AS prose FROM q GROUP BY doc_id""",
 )
 def prose_shares(spark, d):
-    rows = segments.sentences(table(spark, d, "documents"), ["doc_id"])
+    rows = segments.sentences(texts(spark, d, "documents"), ["doc_id"])
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(T.is_prose(F.col("text"))).alias("prose"))
 
 
@@ -121,7 +122,7 @@ def prose_shares(spark, d):
     SELECT doc_id, CAST(min(pos) AS INT) AS first_line, CAST(max(pos) AS INT) AS last_line, count(*) AS rows FROM r GROUP BY doc_id, island HAVING count(*) >= 2""",
 )
 def table_blocks(spark, d):
-    return segments.table_blocks(table(spark, d, "documents"), "doc_id")
+    return segments.table_blocks(texts(spark, d, "documents"), "doc_id")
 
 
 _M = "|".join(T.MONTHS)
@@ -144,3 +145,15 @@ def sentence_dates(spark, d):
     rows = table(spark, d, "labeling_candidates_sample").where("sentence_id is not null and sentence is not null")
     rows = rows.select("sentence_id", "sentence", own.alias("y")).distinct()
     return rows.select("sentence_id", T.date_struct(F.col("sentence"), F.col("y")).alias("d")).select("sentence_id", "d.*")
+
+
+@REGISTRY.query("papers_without_latex")
+def papers_without_latex(spark, d):
+    papers = texts(spark, d, "documents").where(F.lower(F.trim("source_type")).isin("paper", "survey"))
+    return papers.select("doc_id", T.squeeze(latex_text(T.drop_markup(F.coalesce("text", F.lit(""))))).alias("clean"))
+
+
+@REGISTRY.query("page_texts")
+def page_texts(spark, d):
+    pages = texts(spark, d, "documents").where(F.col("text").rlike("(?i)</?(?:div|p|table|span|a|img|br)[ />]"))
+    return pages.select("doc_id", html_text(F.col("text")).alias("plain"))

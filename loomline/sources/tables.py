@@ -3,8 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder``: one parquet file or a folder of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``table``, spread over all cores where its files make fewer tasks than there are cores.
+
+    Work on texts is bound by the CPU, and a small file of one row group would otherwise be one task. Larger tables are
+    read as they lie, without a shuffle.
+    """
+    rows, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a fixed schema; a malformed line is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, quoted fields over several lines, all columns strings; a byte order mark is dropped."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return rows.withColumnRenamed(rows.columns[0], rows.columns[0].lstrip("\ufeff"))
+
+
+def read_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("txt", "md", "html", "htm")) -> DataFrame:
+    """(path, suffix, length, modified, content) of the files of a folder and those under it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.select("path", suffix.alias("suffix"), "length", F.col("modificationTime").alias("modified"), "content").where(F.col("suffix").isin(*suffixes))
