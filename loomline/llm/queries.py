@@ -8,7 +8,7 @@ from loomline.llm import abuse, bpe, garbled, leaks, matching, neardup, pieces,
 from loomline.llm import sql as S
 from loomline.plans.registry import Registry
 from loomline.session import cut_lineage
-from loomline.sources.tables import table
+from loomline.sources.tables import table, texts
 
 REGISTRY = Registry()
 
@@ -25,12 +25,12 @@ def p2_classes(spark, d):
 
 @REGISTRY.query("p3_found", S.P3_FOUND)
 def p3_found(spark, d):
-    return pieces.split_oversized(table(spark, d, "chunks")).select("chunk_id").distinct()
+    return pieces.split_oversized(texts(spark, d, "chunks")).select("chunk_id").distinct()
 
 
 @REGISTRY.query("p3_pieces")
 def p3_pieces(spark, d):
-    return pieces.split_oversized(table(spark, d, "chunks"))
+    return pieces.split_oversized(texts(spark, d, "chunks"))
 
 
 @REGISTRY.query("p4_found", S.P4_FOUND)
@@ -68,31 +68,31 @@ def p5_sample(spark, d):
 
 @REGISTRY.query("p8_found", S.P8_FOUND)
 def p8_found(spark, d):
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+    return leaks.leaked(texts(spark, d, "documents"), table(spark, d, "eval_passages"))
 
 
 @REGISTRY.query("p8_items")
 def p8_items(spark, d):
     passages = table(spark, d, "eval_passages")
-    return leaks.leak_report(leaks.leaked(table(spark, d, "documents"), passages), passages)
+    return leaks.leak_report(leaks.leaked(texts(spark, d, "documents"), passages), passages)
 
 
 @REGISTRY.query("p7_ids")
 def p7_ids(spark, d):
-    return bpe.encode(table(spark, d, "documents"))
+    return bpe.encode(texts(spark, d, "documents"))
 
 
 @REGISTRY.query("p7_changed")
 def p7_changed(spark, d):
     """Documents whose text is not what its ids decode to: none."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = bpe.encode(docs)
     back = ids.select("doc_id", bpe.decode(ids).alias("back"))
     return docs.join(back, "doc_id").where("text <> back").select("doc_id")
 
 
 def _texts(spark, d):
-    return {"documents": (table(spark, d, "documents"), "doc_id"), "chunks": (table(spark, d, "chunks"), "chunk_id")}
+    return {"documents": (texts(spark, d, "documents"), "doc_id"), "chunks": (texts(spark, d, "chunks"), "chunk_id")}
 
 
 @REGISTRY.query("p6_found")
@@ -107,17 +107,17 @@ def p6_restored(spark, d):
 
 @REGISTRY.query("p9_found")
 def p9_found(spark, d):
-    return abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels")).where("abusive").select("doc_id").distinct()
+    return abuse.score(texts(spark, d, "documents"), table(spark, d, "moderation_labels")).where("abusive").select("doc_id").distinct()
 
 
 @REGISTRY.query("p9_scores")
 def p9_scores(spark, d):
-    return abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+    return abuse.score(texts(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
 @REGISTRY.query("p9_rates")
 def p9_rates(spark, d):
-    return abuse.rates(abuse.score(table(spark, d, "documents"), table(spark, d, "moderation_labels")))
+    return abuse.rates(abuse.score(texts(spark, d, "documents"), table(spark, d, "moderation_labels")))
 
 
 @REGISTRY.query("p1_found")
