@@ -59,3 +59,27 @@ def hash_split(docs: DataFrame, doc: str, shares: tuple[tuple[str, float], ...]
     for name, bound in reversed(bounds):
         split = F.when(u < bound, name).otherwise(split)
     return docs.withColumn("split", split)
+
+
+def choose_split(rows: DataFrame, doc: str, group: str, label: str, seeds: range, shares: tuple[tuple[str, float], ...] = (("train", 0.7), ("validation", 0.15), ("test", 0.15))) -> DataFrame:
+    """(seed, score): how well each seed's split by document covers groups and labels; the best first.
+
+    A split loses 1000 (train) or 80 for each label it lacks and 20 for each group, and gains its share's closeness. Rows are
+    counted by (doc, group, label) before the seeds are tried, so the work is documents times seeds.
+    """
+    counted = rows.groupBy(doc, group, label).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"), F.countDistinct(label).alias("labels"), F.countDistinct(group).alias("groups"))
+    tried = counted.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    u = F.conv(F.substring(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col(doc).cast("string"))), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    train, validation = shares[0][1], shares[0][1] + shares[1][1]
+    split = F.when(u < train, shares[0][0]).when(u < validation, shares[1][0]).otherwise(shares[2][0])
+    by = tried.withColumn("split", split).groupBy("seed", "split").agg(F.sum("n").alias("n"), F.countDistinct(label).alias("l"), F.countDistinct(group).alias("g"))
+    want = F.when(F.col("split") == shares[0][0], shares[0][1]).when(F.col("split") == shares[1][0], shares[1][1]).otherwise(shares[2][1])
+    loss = F.when(F.col("split") == shares[0][0], 1000).otherwise(80) * (F.col("labels") - F.col("l")) + 20 * (F.col("groups") - F.col("g")) + 100 * F.abs(F.col("n") / F.col("total") - want)
+    scored = by.crossJoin(F.broadcast(total)).groupBy("seed").agg(F.sum(loss).alias("loss"), F.count("*").alias("splits"))  # total is one row
+    return scored.select("seed", (F.floor((-F.col("loss") - 10000 * (3 - F.col("splits"))) * 1e6 + 0.5) / 1e6).alias("score"))
+
+
+def newest(docs: DataFrame, group, order: list, k: int) -> DataFrame:
+    """The ``k`` first rows of each group in the given order, with their place."""
+    return docs.withColumn("group_key", group).withColumn("place", F.row_number().over(Window.partitionBy("group_key").orderBy(*order))).where(F.col("place") <= k)

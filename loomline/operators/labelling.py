@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.text import strip
+
 # Verbs of events.
 EVENT_VERBS = (
     "propose proposed proposes introduce introduced introduces release released releases publish published publishes announce announced announces "
@@ -107,3 +109,43 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
 def any_of(c: Column, needles: list[str]) -> Column:
     """Whether the text holds any of the needles."""
     return reduce(lambda x, n: x | c.contains(n), needles, F.lit(False))
+
+
+def draw_by_bucket(scored: DataFrame, budgets: DataFrame, group: str, doc: str, key: str, shares: tuple[float, float] = (0.4, 0.3), seed: int = 42) -> DataFrame:
+    """``budget`` rows of each doc: shares of high and medium ones, the rest low, in the order of a hash.
+
+    ``scored`` has (group, doc, key, bucket). Where a bucket has too few rows, the rows beyond the other buckets' quotas
+    fill up, high ones first. Budgets are at most the cap of ``doc_budgets``, so a doc's rows are ranked within its bucket,
+    and only its first ``budget`` of each bucket go on.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
+    inside = Window.partitionBy(group, doc, "bucket").orderBy("_h", key)
+    ranked = scored.withColumn("_h", order).withColumn("_r", F.row_number().over(inside)).join(budgets, [group, doc]).where(F.col("_r") <= F.col("budget"))
+    high, medium = (F.floor(F.col("budget") * s + 0.5) for s in shares)
+    quota = F.when(F.col("bucket") == "high", high).when(F.col("bucket") == "medium", medium).otherwise(F.col("budget") - high - medium)
+    place = F.when(F.col("bucket") == "high", 0).when(F.col("bucket") == "medium", 1).otherwise(2)
+    whole = Window.partitionBy(group, doc).orderBy((F.col("_r") > quota).cast("int"), place, "_h", key)
+    return ranked.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= F.col("budget")).select(group, doc, key, "bucket")
+
+
+def chunk_violations(chunks: DataFrame, longest: int = 1000) -> DataFrame:
+    """(rule, rows) of the rules for chunks that are broken: positions, lengths, numbers, missing fields."""
+    n, start, end = F.length("text"), F.col("start_char"), F.col("end_char")
+    rules = {
+        "no_text": F.coalesce(F.length(strip(F.col("text"))), F.lit(0)) == 0,
+        "no_position": start.isNull() | end.isNull(),
+        "negative_start": start < 0,
+        "end_before_start": end <= start,
+        "length_differs": (end - start) != n,
+        "too_long": n > longest,
+        "number": F.coalesce(F.col("chunk_index"), F.lit(0)) < 1,
+        "no_document": F.col("doc_id").isNull(),
+    }
+    counts = chunks.agg(*(F.count_if(r).alias(k) for k, r in rules.items()))
+    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("rows")) for k in rules))).alias("r")
+    return counts.select(listed).select("r.rule", "r.rows").where("rows > 0")
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """(key, times) of keys that occur more than once."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("times")).where("times > 1")

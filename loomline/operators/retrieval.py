@@ -142,3 +142,9 @@ def ranking_metrics(ranked: DataFrame, queries: DataFrame, query: str, found: st
     return each.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
         F.count("*").alias("queries"), *(hit(n) for n in (1, 3, 5, 10)), round6(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr")
     )
+
+
+def expand_terms(asked: DataFrame, aliases: DataFrame, query: str) -> DataFrame:
+    """(query, term, times) with the aliases (term, alias) of each term beside it, each once."""
+    more = asked.join(aliases, "term").select(query, F.col("alias").alias("term"), F.lit(1).cast("bigint").alias("times"))
+    return asked.unionByName(more).groupBy(query, "term").agg(F.max("times").alias("times"))

@@ -192,3 +192,94 @@ def event_windows(spark, d):
 )
 def sessions(spark, d):
     return windows.sessions(table(spark, d, "events"))
+
+
+_LABEL_ROWS = f"SELECT DISTINCT {_topic()} AS topic, doc_id AS doc, sentence_id, sentence FROM {LABELS} WHERE doc_id IS NOT NULL AND sentence_id IS NOT NULL"
+
+
+@REGISTRY.query(
+    "label_sample",
+    f"""WITH r AS (SELECT topic, doc, sentence_id, max({_SCORE}) AS s FROM ({_LABEL_ROWS}) WHERE sentence IS NOT NULL GROUP BY ALL),
+    k AS (SELECT topic, doc, sentence_id, CASE WHEN s >= 3 THEN 'high' WHEN s >= 1 THEN 'medium' ELSE 'low' END AS bucket, md5('42:' || sentence_id) AS h FROM r),
+    b AS (SELECT topic, doc, least(count(*), 10) AS budget FROM k GROUP BY ALL),
+    o AS (SELECT k.*, budget, row_number() OVER (PARTITION BY topic, doc, bucket ORDER BY h, sentence_id) AS r FROM k JOIN b USING (topic, doc)),
+    q AS (SELECT *, CASE bucket WHEN 'high' THEN floor(budget * 0.4::DOUBLE + 0.5) WHEN 'medium' THEN floor(budget * 0.3::DOUBLE + 0.5) ELSE budget - floor(budget * 0.4::DOUBLE + 0.5) - floor(budget * 0.3::DOUBLE + 0.5) END AS quota FROM o WHERE r <= budget),
+    n AS (SELECT *, row_number() OVER (PARTITION BY topic, doc ORDER BY CASE WHEN r > quota THEN 1 ELSE 0 END, CASE bucket WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, h, sentence_id) AS n FROM q)
+    SELECT topic, doc, sentence_id, bucket FROM n WHERE n <= budget""",
+)
+def label_sample(spark, d):
+    rows = table(spark, d, LABELS).where("doc_id is not null and sentence_id is not null and sentence is not null")
+    scored = rows.groupBy(topic_key(F.col("topic")).alias("topic"), F.col("doc_id").alias("doc"), "sentence_id").agg(F.max(labelling.event_score(F.col("sentence"))).alias("s"))
+    scored = scored.select("topic", "doc", "sentence_id", labelling.bucket(F.col("s")).alias("bucket"))
+    budgets = scored.groupBy("topic", "doc").agg(F.least(F.count("*"), F.lit(10)).alias("budget"))
+    return labelling.draw_by_bucket(scored, budgets, "topic", "doc", "sentence_id")
+
+
+_CHUNK_RULES = {
+    "no_text": f"coalesce(length({_STRIP.format('text')}), 0) = 0",
+    "no_position": "start_char IS NULL OR end_char IS NULL",
+    "negative_start": "start_char < 0",
+    "end_before_start": "end_char <= start_char",
+    "length_differs": "end_char - start_char <> length(text)",
+    "too_long": "length(text) > 1000",
+    "number": "coalesce(chunk_index, 0) < 1",
+    "no_document": "doc_id IS NULL",
+}
+
+
+@REGISTRY.query("chunk_violations", "SELECT rule, rows FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS rows FROM chunks" for n, r in _CHUNK_RULES.items()) + ") WHERE rows > 0")
+def chunk_violations(spark, d):
+    return labelling.chunk_violations(table(spark, d, "chunks"))
+
+
+@REGISTRY.query("repeated_chunks", "SELECT chunk_id, count(*) AS times FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id HAVING count(*) > 1")
+def repeated_chunks(spark, d):
+    return labelling.repeated(table(spark, d, "chunks"), "chunk_id")
+
+
+@REGISTRY.query("repeated_registrations", "SELECT doc_id, count(*) AS times FROM metadata WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1")
+def repeated_registrations(spark, d):
+    return labelling.repeated(table(spark, d, "metadata"), "doc_id")
+
+
+@REGISTRY.query("texts_missing", "SELECT doc_id FROM (SELECT DISTINCT doc_id FROM metadata WHERE doc_id IS NOT NULL) m WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.ref_doc_id = m.doc_id)")
+def texts_missing(spark, d):
+    """Registered documents that no text was loaded for."""
+    loaded = table(spark, d, "documents").select(F.col("ref_doc_id").alias("doc_id"))
+    return labelling.integrity(table(spark, d, "metadata").where("doc_id is not null").select("doc_id").distinct(), loaded, "doc_id")
+
+
+@REGISTRY.query(
+    "newest_documents",
+    f"""SELECT doc_id, group_key, ingested_at, CAST(place AS INT) AS place FROM (SELECT doc_id, ingested_at, {_topic()} AS group_key,
+    row_number() OVER (PARTITION BY {_topic()} ORDER BY ingested_at DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 30""",
+)
+def newest_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "ingested_at", "topic")
+    return corpus.newest(rows, topic_key(F.col("topic")), [F.desc_nulls_last("ingested_at"), "doc_id"], 30).select("doc_id", "group_key", "ingested_at", "place")
+
+
+@REGISTRY.query(
+    "label_summary",
+    f"""SELECT {_topic()} AS topic, lower(trim(coalesce(event_type, ''))) AS event_type, count(*) AS rows, count(*) FILTER (is_event = '1') AS events,
+    count(DISTINCT sentence_id) AS sentences FROM {LABELS} GROUP BY GROUPING SETS ((), (1), (1, 2))""",
+)
+def label_summary(spark, d):
+    rows = table(spark, d, LABELS).select(topic_key(F.col("topic")).alias("topic"), F.lower(F.trim(F.coalesce("event_type", F.lit("")))).alias("event_type"), "is_event", "sentence_id")
+    return rows.rollup("topic", "event_type").agg(F.count("*").alias("rows"), F.count_if(F.col("is_event") == "1").alias("events"), F.countDistinct("sentence_id").alias("sentences"))
+
+
+@REGISTRY.query(
+    "split_seeds",
+    f"""WITH r AS (SELECT doc_id, {_topic()} AS topic, event_type FROM {LABELS} WHERE doc_id IS NOT NULL AND event_type IS NOT NULL),
+    c AS (SELECT doc_id, topic, event_type, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT count(*) AS total, count(DISTINCT event_type) AS labels, count(DISTINCT topic) AS groups FROM r),
+    s AS (SELECT *, unnest(generate_series(42, 61)) AS seed FROM c),
+    u AS (SELECT *, CAST(CAST('0x' || left(md5(seed || ':' || doc_id), 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM s),
+    b AS (SELECT seed, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'validation' ELSE 'test' END AS split, n, topic, event_type FROM u),
+    g AS (SELECT seed, split, sum(n) AS n, count(DISTINCT event_type) AS l, count(DISTINCT topic) AS g FROM b GROUP BY ALL),
+    o AS (SELECT seed, sum(CASE split WHEN 'train' THEN 1000 ELSE 80 END * (labels - l) + 20 * (groups - g) + 100 * abs(n::DOUBLE / total - CASE split WHEN 'train' THEN 0.7::DOUBLE ELSE 0.15::DOUBLE END)) AS loss, count(*) AS splits FROM g, t GROUP BY seed)
+    SELECT CAST(seed AS INT) AS seed, floor((-loss - 10000 * (3 - splits)) * 1e6 + 0.5) / 1e6 AS score FROM o""",
+)
+def split_seeds(spark, d):
+    rows = table(spark, d, LABELS).where("doc_id is not null and event_type is not null").select("doc_id", topic_key(F.col("topic")).alias("topic"), "event_type")
+    return corpus.choose_split(rows, "doc_id", "topic", "event_type", range(42, 62))

@@ -146,3 +146,16 @@ def extracted_answers(spark, d):
     both = held.join(best, "doc_id").join(asked, "qid").withColumn("shared", F.size(F.array_intersect("w", "q")).cast("bigint")).where("shared > 0")
     order = Window.partitionBy("qid").orderBy(F.desc("shared"), "doc_rank", "sentence_index")
     return both.withColumn("place", F.row_number().over(order)).where("place <= 3").select("qid", "doc_id", "sentence_index", "text", "shared", "place")
+
+
+_ALIASES = f"""n AS (SELECT DISTINCT {_words("coalesce(title, '')")} AS w FROM metadata WHERE title IS NOT NULL),
+    al AS (SELECT DISTINCT w[1] AS term, unnest(w[2:]) AS alias FROM n WHERE len(w) > 1),
+    aq AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_words("question")}) AS term FROM retrieval_eval) GROUP BY ALL)"""
+
+
+@REGISTRY.query("expanded_terms", f"WITH {_ALIASES} SELECT qid, term, max(times) AS times FROM (SELECT qid, term, times FROM aq UNION ALL SELECT qid, alias, 1 FROM aq JOIN al USING (term)) GROUP BY qid, term")
+def expanded_terms(spark, d):
+    """Question terms with the other words of titles that begin with one of them."""
+    titles = table(spark, d, "metadata").select(words(F.col("title")).alias("w")).where(F.size("w") > 1)
+    aliases = titles.select(F.col("w")[0].alias("term"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("alias")).distinct()
+    return R.expand_terms(R.query_terms(table(spark, d, "retrieval_eval"), "qid", F.col("question")), aliases, "qid")
