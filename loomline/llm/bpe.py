@@ -16,9 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: (?U) makes \s Unicode white space, as in the tokenizers library.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word.
+PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?LETTERS| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the dictionary, at most, and the fewest occurrences of one.
 DICTIONARY, OFTEN = 100_000, 3
 BUCKETS = 1 << 17
@@ -100,17 +102,17 @@ def with_tables(path: str, body) -> Column:
     shift, slots, first, ids = _tables(path)
     end = len(shift) - 1  # no token: stands before and after the word
     bundle = F.struct(_numbers(shift, "int").alias("shift"), _numbers(slots).alias("slots"), _numbers(first).alias("first"))
-    mark = F.lit(end + _NONE)
+    mark, mask, none = F.lit(end + _NONE), F.lit(_SHIFT - 1).cast("bigint"), F.lit(_NONE)
 
     def fold_with(t: Column):
         shifts, places, starts = t["shift"], t["slots"], t["first"]
 
         def ranked(a: Column, b: Column) -> Column:
             """Rank of the pair and its left token; a and b are ints."""
-            return _let(F.get(places, F.get(shifts, a) + b), lambda v: F.when(v.bitwiseAND(F.lit(_SHIFT - 1)) == a, v).otherwise(a + F.lit(_NONE)))
+            return _let(F.get(places, F.get(shifts, a) + b), lambda v: F.when(v.bitwiseAND(mask) == a, v).otherwise(a + none))
 
         def token(state: Column, i: Column) -> Column:
-            return F.get(state, i).bitwiseAND(F.lit(_SHIFT - 1)).cast("int")
+            return F.get(state, i).bitwiseAND(mask).cast("int")
 
         def merge(state: Column, low: Column) -> Column:
             def at(new: Column, p: Column) -> Column:
@@ -121,7 +123,7 @@ def with_tables(path: str, body) -> Column:
             return _let(both, lambda x: at(x["new"], x["p"]))
 
         def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state), lambda low: F.when(low < F.lit(_NONE), merge(state, low)).otherwise(state))
+            return _let(F.array_min(state), lambda low: F.when(low < none, merge(state, low)).otherwise(state))
 
         def fold(word: Column) -> Column:
             letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
@@ -129,7 +131,7 @@ def with_tables(path: str, body) -> Column:
             def run(c: Column) -> Column:
                 pairs = F.zip_with(c, F.slice(c, F.lit(2), F.lit(1 << 30)), lambda x, y: F.get(starts, F.ascii(x) * 257 + F.coalesce(F.ascii(y), F.lit(256))))
                 done = F.aggregate(F.slice(c, F.lit(2), F.lit(1 << 30)), F.concat(F.array(mark), pairs, F.array(mark)), step)
-                return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: e.bitwiseAND(F.lit(_SHIFT - 1)).cast("int"))
+                return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: e.bitwiseAND(mask).cast("int"))
 
             return _let(letters, run)
 
@@ -138,14 +140,38 @@ def with_tables(path: str, body) -> Column:
     return _let(bundle, lambda t: body(fold_with(t)))
 
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
+@lru_cache
+def split_pattern(path: str) -> str:
+    """PATTERN, with words also split before a capital where no token holds the pair of letters.
+
+    No merge can join such a pair, so both parts have the ids they have together, and parts recur more often than names
+    that are put together.
+    """
+    held = {t[i : i + 2] for t in load(path)["pieces"].values() for i in range(len(t) - 1)}
+    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    after = {a: "".join(b for b in capital if (a + b).encode() in held) for a in small}
+    joined = "|".join(f"(?<={a})[{b}]" for a, b in after.items() if b)
+    return PATTERN.replace("LETTERS", rf"\p{{L}}(?:[\p{{L}}&&[^A-Z]]|(?<![a-z])[A-Z]|{joined})*" if joined else r"\p{L}(?:[\p{L}&&[^A-Z]]|(?<![a-z])[A-Z])*")
+
+
+def split_words(text: Column, path: str = VOCABULARY) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(split_pattern(path)), 0)
 
 
 def common_words(words: DataFrame, path: str = VOCABULARY, most: int = DICTIONARY, often: int = OFTEN) -> DataFrame:
-    """(word, ids) of the ``most`` most frequent words of (w: array) that occur ``often`` times or more."""
+    """(word, ids) of at most ``most`` words of (w: array): those above the count that so many words reach, at least ``often``.
+
+    The count comes from a histogram of counts, so no task sorts all words.
+    """
     counts = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") >= often).orderBy(F.desc("n"), "word").limit(most)
+    counts = cut_lineage(counts.where(F.col("n") >= often))
+    reached, least = 0, None
+    for n, k in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
+        reached += k
+        if reached > most:
+            break
+        least = n
+    top = counts.where(F.col("n") >= least) if least else counts.limit(0)
     return top.select("word", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids"))
 
 
@@ -164,7 +190,7 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     Null and empty texts give an empty list; text that looks like a special token is ordinary text; repeated rows are each
     encoded, null keys kept; further columns are ignored.
     """
-    split = texts.select(F.col(key), split_words(F.col(text)).alias("w"))
+    split = texts.select(F.col(key), split_words(F.col(text), path).alias("w"))
     known = _dictionary(common_words(split, path, most))
 
     def words(fold) -> Column:
