@@ -189,6 +189,14 @@ def _fit(keys_at: np.ndarray, sentence: np.ndarray, text: np.ndarray, grades: np
     return w, cuts
 
 
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """``most`` rows by hash of doc_id, or all if there are fewer; only about as many are sorted."""
+    total = rows.count()
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    near = rows.withColumn("u", u).where(F.col("u") <= min(1.0, (1.2 * most + 100) / max(total, 1)))
+    return near.orderBy("u", "doc_id").limit(most).drop("u")
+
+
 def train(documents: DataFrame, labels: DataFrame) -> SeverityModel:
     """The model of MOST_LABELLED labelled documents and as many without votes, taken by hash of the id.
 
@@ -197,11 +205,11 @@ def train(documents: DataFrame, labels: DataFrame) -> SeverityModel:
     """
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
     grade = F.when(F.col("share") <= 0, 0).when(F.col("share") >= 1, 2).otherwise(1)
-    h = F.xxhash64("doc_id", F.lit(3)).alias("h")
-    taken = votes.orderBy(h, "doc_id").limit(MOST_LABELLED)
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    known = texts.join(taken, "doc_id").select("doc_id", grade.alias("grade"), "text").dropDuplicates(["doc_id"]).collect()
-    others = texts.join(votes, "doc_id", "left_anti").orderBy(h, "doc_id").limit(len(known))
+    taken = _some(votes, MOST_LABELLED)
+    known = texts.join(F.broadcast(taken), "doc_id").select("doc_id", grade.alias("grade"), "text").dropDuplicates(["doc_id"]).collect()  # MOST_LABELLED rows
+    free = _some(texts.select("doc_id").join(votes, "doc_id", "left_anti"), len(known))
+    others = texts.join(F.broadcast(free), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = sorted([tuple(r) for r in known] + [(k, 0, t) for k, t in others.collect()])
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
 
