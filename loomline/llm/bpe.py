@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from loomline.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?LETTERS| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: (?U) makes \s Unicode white space, as in the tokenizers library. Loops are of
+#: single classes, which Java matches without recursion, so that a word of any length is fine.
+PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the dictionary, at most, and the fewest occurrences of one.
 DICTIONARY, OFTEN = 100_000, 3
 BUCKETS = 1 << 17
@@ -140,22 +141,8 @@ def with_tables(path: str, body) -> Column:
     return _let(bundle, lambda t: body(fold_with(t)))
 
 
-@lru_cache
-def split_pattern(path: str) -> str:
-    """PATTERN, with words also split before a capital where no token holds the pair of letters.
-
-    No merge can join such a pair, so both parts have the ids they have together, and parts recur more often than names
-    that are put together.
-    """
-    held = {t[i : i + 2] for t in load(path)["pieces"].values() for i in range(len(t) - 1)}
-    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    after = {a: "".join(b for b in capital if (a + b).encode() in held) for a in small}
-    joined = "|".join(f"(?<={a})[{b}]" for a, b in after.items() if b)
-    return PATTERN.replace("LETTERS", rf"\p{{L}}(?:[\p{{L}}&&[^A-Z]]|(?<![a-z])[A-Z]|{joined})*" if joined else r"\p{L}(?:[\p{L}&&[^A-Z]]|(?<![a-z])[A-Z])*")
-
-
-def split_words(text: Column, path: str = VOCABULARY) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(split_pattern(path)), 0)
+def split_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
 
 
 def common_words(words: DataFrame, path: str = VOCABULARY, most: int = DICTIONARY, often: int = OFTEN) -> DataFrame:
@@ -190,7 +177,7 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     Null and empty texts give an empty list; text that looks like a special token is ordinary text; repeated rows are each
     encoded, null keys kept; further columns are ignored.
     """
-    split = texts.select(F.col(key), split_words(F.col(text), path).alias("w"))
+    split = texts.select(F.col(key), split_words(F.col(text)).alias("w"))
     known = _dictionary(common_words(split, path, most))
 
     def words(fold) -> Column:
