@@ -50,10 +50,12 @@ def doc_budgets(sizes: DataFrame, group: str, doc: str, target: int, least: int
         F.max(F.when((F.col("before") < F.col("left")) & (F.col("before") + F.col("docs") > F.col("left")), F.col("left") - F.col("before")).otherwise(0)).alias("rest"),
     )
     joined = base.join(whole, group, "left").fillna(0, ["full", "rest"])
-    part = (F.col("extra") > F.col("full")).cast("int")
-    turn = F.sum(part).over(Window.partitionBy(group).orderBy(doc).rowsBetween(Window.unboundedPreceding, 0))
-    one = F.when((part == 1) & (turn <= F.col("rest")), 1).otherwise(0)
-    return joined.withColumn("one", one).select(group, doc, (F.col("floor") + F.least("extra", "full") + F.col("one")).cast("bigint").alias("budget"))
+    # of the round that is begun but not filled: the first docs, at most `target` of a group, which Spark knows beforehand
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(doc))
+    begun = joined.where(F.col("extra") > F.col("full")).withColumn("turn", turn).where(F.col("turn") <= F.lit(target))
+    one = begun.where(F.col("turn") <= F.col("rest")).select(group, doc, F.lit(1).alias("one"))
+    budget = F.col("floor") + F.least("extra", "full") + F.coalesce("one", F.lit(0))
+    return joined.join(one, [group, doc], "left").select(group, doc, budget.cast("bigint").alias("budget"))
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -111,16 +113,15 @@ def any_of(c: Column, needles: list[str]) -> Column:
     return reduce(lambda x, n: x | c.contains(n), needles, F.lit(False))
 
 
-def draw_by_bucket(scored: DataFrame, budgets: DataFrame, group: str, doc: str, key: str, shares: tuple[float, float] = (0.4, 0.3), seed: int = 42) -> DataFrame:
+def draw_by_bucket(scored: DataFrame, budgets: DataFrame, group: str, doc: str, key: str, shares: tuple[float, float] = (0.4, 0.3), seed: int = 42, cap: int = 100) -> DataFrame:
     """``budget`` rows of each doc: shares of high and medium ones, the rest low, in the order of a hash.
 
     ``scored`` has (group, doc, key, bucket). Where a bucket has too few rows, the rows beyond the other buckets' quotas
-    fill up, high ones first. Budgets are at most the cap of ``doc_budgets``, so a doc's rows are ranked within its bucket,
-    and only its first ``budget`` of each bucket go on.
+    fill up, high ones first. Budgets are at most ``cap``, so that Spark keeps no more of a bucket before it shuffles.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     inside = Window.partitionBy(group, doc, "bucket").orderBy("_h", key)
-    ranked = scored.withColumn("_h", order).withColumn("_r", F.row_number().over(inside)).join(budgets, [group, doc]).where(F.col("_r") <= F.col("budget"))
+    ranked = scored.withColumn("_h", order).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= F.lit(cap)).join(budgets, [group, doc]).where(F.col("_r") <= F.col("budget"))
     high, medium = (F.floor(F.col("budget") * s + 0.5) for s in shares)
     quota = F.when(F.col("bucket") == "high", high).when(F.col("bucket") == "medium", medium).otherwise(F.col("budget") - high - medium)
     place = F.when(F.col("bucket") == "high", 0).when(F.col("bucket") == "medium", 1).otherwise(2)

@@ -84,18 +84,26 @@ def term_frequency(queries: DataFrame, docs: DataFrame, query: str, question: Co
     return terms.join(asked, "term").groupBy(query, key).agg(F.sum("n").cast("double").alias("score"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 50_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` greatest inner products of each query with all vectors.
 
-    Queries come in blocks of rows, each multiplied with each block of vectors as matrices inside the tasks; a block's own
-    best ``k`` are what is shuffled.
+    Queries come in blocks of about ``block`` rows, each multiplied with each batch of vectors as matrices inside the tasks;
+    a batch's own best ``k`` are what is shuffled. More queries make more blocks.
     """
-    spark = vectors.sparkSession
-    blocks = queries.select("vec_id", "embedding").toPandas() if queries.count() <= 100_000 else None
-    if blocks is None:
-        raise ValueError("more than 100,000 queries at once: call this for parts of them")
-    ids, matrix = blocks["vec_id"].to_numpy(), np.array(blocks["embedding"].tolist(), dtype=np.float64).reshape(len(blocks), -1)
-    sent = spark.sparkContext.broadcast((ids, matrix))
+    asked = queries.select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        scored = _inner_products(part.toPandas(), vectors, k)
+        found = scored if found is None else found.union(scored)
+    return top_k(found.where("query_id <> vec_id").withColumn("score", round6(F.col("score"))), "query_id", "vec_id", k)
+
+
+def _inner_products(part: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` + 1 of every batch of vectors for each query of one block."""
+    ids, matrix = part["vec_id"].to_numpy(), np.array(part["embedding"].tolist(), dtype=np.float64).reshape(len(part), -1)
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def score(frames):
         own, m = sent.value
@@ -108,8 +116,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
             best = np.argsort(-s, axis=0, kind="stable")[:take]
             yield pd.DataFrame({"query_id": np.tile(own, take), "vec_id": keys[best].ravel(), "score": np.take_along_axis(s, best, 0).ravel()})
 
-    found = vectors.select("vec_id", "embedding").mapInPandas(score, "query_id bigint, vec_id bigint, score double").where("query_id <> vec_id")
-    return top_k(found.withColumn("score", round6(F.col("score"))), "query_id", "vec_id", k)
+    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id bigint, vec_id bigint, score double")
 
 
 def diversify(ranked: DataFrame, query: str, key: str, k: int, pool: int, weight: float = 0.18) -> DataFrame:

@@ -52,7 +52,7 @@ def test_nearest_against_numpy(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 8))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
-    got = retrieval.nearest(table.where("vec_id % 50 = 0"), table, 3)
+    got = retrieval.nearest(table.where("vec_id % 50 = 0"), table, 3, block=2)
     s = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T
     for q in (0, 50, 100, 150):
         best = [i for i in np.argsort(-s[q]) if i != q][:3]
