@@ -18,7 +18,7 @@ def p2_found(spark, d):
     return neardup.near_duplicates(table(spark, d, "labeling_candidates_sample"))
 
 
-@REGISTRY.query("p2_classes")
+@REGISTRY.query("p2_classes", S.P2_CLASSES)
 def p2_classes(spark, d):
     return neardup.duplicate_classes(table(spark, d, "labeling_candidates_sample"))
 
@@ -71,7 +71,7 @@ def p8_found(spark, d):
     return leaks.leaked(texts(spark, d, "documents"), table(spark, d, "eval_passages"))
 
 
-@REGISTRY.query("p8_items")
+@REGISTRY.query("p8_items", S.P8_ITEMS)
 def p8_items(spark, d):
     passages = table(spark, d, "eval_passages")
     return leaks.leak_report(leaks.leaked(texts(spark, d, "documents"), passages), passages)

@@ -58,3 +58,21 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 9], ' ') AS g FROM ds),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS g FROM it)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
+
+P8_ITEMS = f"""
+SELECT p.item_id, p.qid, count(DISTINCT f.doc_id) AS documents FROM (SELECT DISTINCT item_id, qid FROM eval_passages) p
+LEFT JOIN ({P8_FOUND}) f ON f.item_id = p.item_id GROUP BY p.item_id, p.qid
+"""
+
+P2_CLASSES = r"""
+WITH w AS (
+  SELECT DISTINCT sentence_id, list_sort(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS ws
+  FROM labeling_candidates_sample WHERE sentence_id IS NOT NULL AND sentence IS NOT NULL
+), b AS (SELECT DISTINCT ws, md5(array_to_string(ws, ' ')) AS bag, len(ws) AS n FROM w WHERE len(ws) >= 8),
+t AS (SELECT bag, n, word, count(*) AS times FROM (SELECT bag, n, unnest(ws) AS word FROM b) GROUP BY ALL),
+p AS (
+  SELECT x.bag AS bag, y.bag AS other FROM t x JOIN t y ON x.word = y.word AND x.bag <> y.bag
+  GROUP BY x.bag, y.bag, x.n, y.n HAVING sum(least(x.times, y.times)) >= 0.8 * greatest(x.n, y.n) - 1e-9
+), l AS (SELECT bag, count(*) AS links FROM p GROUP BY bag)
+SELECT DISTINCT sentence_id, bag AS class_id, coalesce(links, 0) AS links FROM w JOIN b USING (ws) LEFT JOIN l USING (bag)
+"""
