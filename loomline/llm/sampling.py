@@ -1,8 +1,7 @@
 """A sample that matches target proportions by category.
 
-Every category gets an acceptance probability from its target over what it can offer; rows are accepted independently
-by a hash of their id, slightly oversampled, and the counts are then corrected exactly: bins of the hash find the bin in
-which the quota is reached, and only that bin's rows are ranked.
+Rows are accepted independently by a hash of their id. The counts of the hash's bins, of the rows that the cap leaves, find
+the bin in which a category's quota is reached; rows are accepted up to it and ranked in their bins, so none is missing.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 from loomline.llm.splits import clean_doc
 
 BINS = 4096
-#: Accepted beyond the expected number, before the exact correction: this factor and six standard deviations.
-OVERSAMPLE = 1.05
 
 
 def clean_topic(c: Column) -> Column:
@@ -48,35 +45,46 @@ def requirements(offered: DataFrame, targets: DataFrame, one_in: int = 5) -> Dat
 
 
 def draw(rows: DataFrame, targets: DataFrame, one_in: int = 5, seed: int = 11) -> DataFrame:
-    """(sentence_id, topic, doc): min(needed, offered) rows a topic, at most max_per_doc of one doc.
+    """(sentence_id, topic, doc): min(needed, available) rows a topic, at most max_per_doc of one doc.
 
-    A sentence id that several topics or docs offer is drawn at most once, for the least (topic, doc). Same rows in any
+    A sentence id that several topics or docs offer is drawn at most once, for the topic that offers least for its need and
+    the doc with most room; that choice is made id by id, so a topic may still get fewer than it offers: see ``drawn``. Same rows in any
     order give the same sample. Empty rows give an empty sample.
     """
     offered = offers(rows, targets)
     need = requirements(offered, targets, one_in)
-    once = offered.groupBy("sentence_id").agg(F.min(F.struct("topic", "doc")).alias("at")).select("sentence_id", "at.topic", "at.doc")
+    # a shared id goes to the topic that offers least for its need, there to the doc with most room
+    room = offered.groupBy("topic", "doc").agg(F.count("*").alias("have")).join(F.broadcast(need), "topic")
+    room = room.select("topic", "doc", (F.col("offered") / F.greatest("needed", F.lit(1))).alias("ease"), (F.col("have") - F.col("max_per_doc")).alias("over"))
+    placed_at = F.min(F.struct("ease", "over", "topic", "doc")).alias("at")
+    once = offered.join(room, ["topic", "doc"]).groupBy("sentence_id").agg(placed_at).select("sentence_id", "at.topic", "at.doc")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("sentence_id")), 11) / F.lit(float(1 << 53))
     most = targets.agg(F.max("max_per_doc")).first()[0] or 0
     in_doc = Window.partitionBy("topic", "doc").orderBy("u", "sentence_id")
     # the constant bound lets Spark keep at most `most` rows of a doc before it shuffles
     capped = once.withColumn("u", u).withColumn("rn", F.row_number().over(in_doc)).where(F.col("rn") <= F.lit(most))
     capped = capped.join(F.broadcast(need), "topic").where("rn <= max_per_doc")
-    expected = F.col("needed") / F.greatest("offered", F.lit(1))
     # the cap keeps the lowest u of a doc, so ranks are compared on a fresh hash
     v = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("sentence_id")), 11) / F.lit(float(1 << 53))
-    slack = 6 / F.sqrt(F.greatest("needed", F.lit(1)))
-    accepted = capped.withColumn("v", v).where(F.col("v") <= expected * (OVERSAMPLE + slack))
-    accepted = accepted.withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
-    bins = accepted.groupBy("topic", "bin").agg(F.count("*").alias("k"))
+    capped = capped.withColumn("v", v).withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
+    # the counts of what the cap left, not of the offer, say up to which bin rows are accepted
+    bins = capped.groupBy("topic", "bin").agg(F.count("*").alias("k"))
     before = Window.partitionBy("topic").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows at most
     bins = bins.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    placed = accepted.join(F.broadcast(bins), ["topic", "bin"])  # BINS rows a category
+    placed = capped.join(F.broadcast(bins), ["topic", "bin"]).where("before < needed")  # BINS rows a category
     within = Window.partitionBy("topic", "bin").orderBy("v", "sentence_id")
     ranked = placed.withColumn("at", F.col("before") + F.row_number().over(within))
     return ranked.where("at <= needed").select("sentence_id", "topic", "doc")
 
 
+def drawn(sample: DataFrame, rows: DataFrame, targets: DataFrame, one_in: int = 5) -> DataFrame:
+    """One row a topic: needed, offered, drawn, and deficit (needed beyond what ``sample`` of ``draw`` holds)."""
+    need = requirements(offers(rows, targets), targets, one_in)
+    counts = sample.groupBy("topic").agg(F.count("*").alias("drawn"))
+    both = need.join(F.broadcast(counts), "topic", "left").fillna(0, ["drawn"])  # one row a category
+    return both.select("topic", "needed", "offered", "drawn", F.greatest(F.lit(0), F.col("needed") - F.col("drawn")).cast("bigint").alias("deficit"))
+
+
 def shortfalls(rows: DataFrame, targets: DataFrame, one_in: int = 5) -> DataFrame:
     """One row a topic: needed, offered, missing (needed beyond the offer)."""
     need = requirements(offers(rows, targets), targets, one_in)

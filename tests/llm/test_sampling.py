@@ -49,3 +49,13 @@ def test_same_sample_for_rows_in_any_order(spark):
     a = {r["sentence_id"] for r in sampling.draw(table(spark, rows), goal).collect()}
     b = {r["sentence_id"] for r in sampling.draw(table(spark, rows[::-1]).repartition(3), goal).collect()}
     assert a == b and len(a) == 60
+
+
+def test_shared_ids_go_where_they_are_needed(spark):
+    """Ids of a full doc or an ample topic are left to the scarce one; what is drawn is reported."""
+    rows = [(f"p{i}_s1", f"p{i}", "ample") for i in range(200)]
+    rows += [(f"x_s{i}", "a_full", "scarce") for i in range(40)] + [(f"x_s{i}", f"own{i}", "scarce") for i in range(20)] + [(f"x_s{i}", "a_full", "ample") for i in range(20)]
+    goal = targets(spark, [("ample", 500, 1, 4), ("scarce", 500, 24, 4)])
+    out = sampling.draw(table(spark, rows), goal)
+    report = {r["topic"]: (r["needed"], r["offered"], r["drawn"], r["deficit"]) for r in sampling.drawn(out, table(spark, rows), goal).collect()}
+    assert report == {"ample": (24, 204, 24, 0), "scarce": (24, 24, 24, 0)}
