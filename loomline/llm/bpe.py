@@ -3,13 +3,14 @@
 A text is split into words by the vocabulary's pattern. A word starts as its bytes; a fold merges the leftmost pair of the
 least rank until none is left. The state of the fold is one array: each element holds a token and the rank of its pair with
 the next one, so the least element is the next merge. Ranks are a literal of the plan: rows of a sparse matrix laid
-over each other, two array look-ups a pair. Words that occur often are folded once for the whole corpus and looked up in a literal dictionary of
-bounded size; other words, nearly all of them unique, are folded where they stand.
+over each other, two array look-ups a pair. Every distinct word is folded once for the whole corpus. Words that occur often
+are looked up in a literal dictionary of bounded size; all others are joined back by word to the places where they stand.
 """
 
 from __future__ import annotations
 
 import json
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from loomline.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: (?U) makes \s Unicode white space, as in the tokenizers library. Loops are of
-#: single classes, which Java matches without recursion, so that a word of any length is fine.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word. Loops are of
+#: single classes or possessive, which Java matches without recursion, so that a word of any length is fine.
+PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?LETTERS| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the dictionary, at most, and the fewest occurrences of one.
 DICTIONARY, OFTEN = 100_000, 3
 BUCKETS = 1 << 17
@@ -99,67 +100,90 @@ def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def with_tables(path: str, body) -> Column:
-    """``body(fold)``, where fold(word) gives the ids of one word; the literals stand in the plan once."""
+    """``body(fold)``, where fold(word) gives the ids of one word that isn't empty; the literals stand in the plan once.
+
+    A value that is used twice is bound as the element of an array of one, over which an aggregate runs with the state.
+    """
     shift, slots, first, ids = _tables(path)
     end = len(shift) - 1  # no token: stands before and after the word
     bundle = F.struct(_numbers(shift, "int").alias("shift"), _numbers(slots).alias("slots"), _numbers(first).alias("first"))
-    mark, mask, none = F.lit(end + _NONE), F.lit(_SHIFT - 1).cast("bigint"), F.lit(_NONE)
+    mark, mask, none, rest = F.lit(end + _NONE), F.lit(_SHIFT - 1).cast("bigint"), F.lit(_NONE), F.lit(1 << 30)
 
     def fold_with(t: Column):
         shifts, places, starts = t["shift"], t["slots"], t["first"]
 
         def ranked(a: Column, b: Column) -> Column:
             """Rank of the pair and its left token; a and b are ints."""
-            return _let(F.get(places, F.get(shifts, a) + b), lambda v: F.when(v.bitwiseAND(mask) == a, v).otherwise(a + none))
+            v = F.get(places, F.get(shifts, a) + b)
+            return F.when(v.bitwiseAND(mask) == a, v).otherwise(a + none)
 
         def token(state: Column, i: Column) -> Column:
             return F.get(state, i).bitwiseAND(mask).cast("int")
 
         def merge(state: Column, low: Column) -> Column:
-            def at(new: Column, p: Column) -> Column:
-                pair = F.array(ranked(token(state, p - 2), new), ranked(new, token(state, p + 1)))
-                return F.concat(F.slice(state, F.lit(1), p - 2), pair, F.slice(state, p + 2, F.lit(1 << 30)))
+            new = F.shiftright(low, 17).cast("int")
+
+            def at(s: Column, p: Column) -> Column:
+                pair = F.array(ranked(token(s, p - 2), new), ranked(new, token(s, p + 1)))
+                return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), pair, F.slice(s, p + 2, rest)))
 
-            both = F.struct(F.shiftright(low, 17).cast("int").alias("new"), F.array_position(state, low).cast("int").alias("p"))
-            return _let(both, lambda x: at(x["new"], x["p"]))
+            return F.aggregate(F.array(F.array_position(state, low).cast("int")), state, at)
 
         def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state), lambda low: F.when(low < none, merge(state, low)).otherwise(state))
+            return F.aggregate(F.array(F.array_min(state)), state, lambda s, low: F.when(low < none, merge(s, low)).otherwise(s))
 
         def fold(word: Column) -> Column:
             letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-
-            def run(c: Column) -> Column:
-                pairs = F.zip_with(c, F.slice(c, F.lit(2), F.lit(1 << 30)), lambda x, y: F.get(starts, F.ascii(x) * 257 + F.coalesce(F.ascii(y), F.lit(256))))
-                done = F.aggregate(F.slice(c, F.lit(2), F.lit(1 << 30)), F.concat(F.array(mark), pairs, F.array(mark)), step)
-                return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: e.bitwiseAND(mask).cast("int"))
-
-            return _let(letters, run)
+            pairs = F.zip_with(letters, F.slice(letters, F.lit(2), rest), lambda x, y: F.get(starts, F.ascii(x) * 257 + F.coalesce(F.ascii(y), F.lit(256))))
+            start = F.flatten(F.array(F.array(mark), pairs, F.array(mark)))
+            tokens = lambda done: F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: e.bitwiseAND(mask).cast("int"))
+            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, tokens)
 
         return fold
 
     return _let(bundle, lambda t: body(fold_with(t)))
 
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
+@lru_cache
+def split_pattern(path: str = VOCABULARY) -> str:
+    """PATTERN, with words also cut between a small letter and a capital that stand side by side in no token.
+
+    No merge joins such letters, so the parts have the ids they have together, and they recur more often than names put
+    together of them.
+    """
+    held = {t[i : i + 2] for t in load(path)["pieces"].values() for i in range(len(t) - 1)}
+    apart = {b: "".join(a for a in string.ascii_lowercase if (a + b).encode() not in held) for b in string.ascii_uppercase}
+    cut = "|".join(f"[{small}]{b}" for b, small in apart.items() if small)
+    return PATTERN.replace("LETTERS", rf"\p{{L}}(?:[\p{{L}}&&[^A-Z]]++|[A-Z](?<!{cut}))*+" if cut else r"\p{L}+")
+
 
+def split_words(text: Column, path: str = VOCABULARY) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(split_pattern(path)), 0)
 
-def common_words(words: DataFrame, path: str = VOCABULARY, most: int = DICTIONARY, often: int = OFTEN) -> DataFrame:
-    """(word, ids) of at most ``most`` words of (w: array): those above the count that so many words reach, at least ``often``.
 
-    The count comes from a histogram of counts, so no task sorts all words.
+def count_words(words: Column, rows: DataFrame) -> DataFrame:
+    """(word, n) of all distinct words."""
+    return cut_lineage(rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def least_count(counts: DataFrame, most: int = DICTIONARY, often: int = OFTEN) -> int | None:
+    """The least count, of ``often`` or more, that at most ``most`` words reach; none where no count does.
+
+    It comes from a histogram of counts, so no task sorts all words.
     """
-    counts = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut_lineage(counts.where(F.col("n") >= often))
     reached, least = 0, None
-    for n, k in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
+    histogram = counts.where(F.col("n") >= often).groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k"))
+    for n, k in histogram.orderBy(F.desc("n")).collect():
         reached += k
         if reached > most:
             break
         least = n
-    top = counts.where(F.col("n") >= least) if least else counts.limit(0)
-    return top.select("word", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids"))
+    return least
+
+
+def fold_words(counts: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(word, ids) of distinct words."""
+    return counts.select("word", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids"))
 
 
 def _dictionary(known: DataFrame) -> Column:
@@ -175,18 +199,36 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """(key, ids) of every row: token ids of its text, without special tokens.
 
     Null and empty texts give an empty list; text that looks like a special token is ordinary text; repeated rows are each
-    encoded, null keys kept; further columns are ignored.
+    encoded, null keys kept; further columns are ignored. Every distinct word is folded once: the ``most`` most frequent go
+    into the literal dictionary, the others are joined to the places where they stand, which know their row by two hashes
+    of its key and text. The cost of one word grows with the square of its length.
     """
-    split = texts.select(F.col(key), split_words(F.col(text)).alias("w"))
-    known = _dictionary(common_words(split, path, most))
-
-    def words(fold) -> Column:
-        def one(w: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.get(known, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w), fold(w))
-
-        return F.flatten(F.transform("w", one))
-
-    return split.select(key, with_tables(path, words).alias("ids"))
+    rows = texts.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    words = split_words(F.col("t"), path)
+    counts = count_words(words, rows)
+    least = least_count(counts, most)
+    known = _dictionary(fold_words(counts.where(F.col("n") >= least) if least else counts.limit(0), path))
+    others = fold_words(counts.where(F.col("n") < least) if least else counts, path)
+
+    def found(word: Column) -> Column:
+        return F.try_element_at(F.get(known, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")), word)
+
+    rows = rows.withColumns({"h": F.xxhash64("k", "t"), "g": F.xxhash64("t", "k")})
+    places = rows.select("h", "g", F.posexplode(F.filter(words, lambda w: found(w).isNull())).alias("at", "word"))
+    # the same row again gives the same places: a set
+    own = places.join(others, "word").groupBy("h", "g").agg(F.array_sort(F.collect_set(F.struct("at", "ids")))["ids"].alias("own"))
+    both = rows.join(own, ["h", "g"], "left").select("k", "own", F.transform(words, found).alias("known"))
+    # the words between two places, and then the word of the place
+    gaps = F.filter(F.transform("known", lambda w, i: F.when(w.isNull(), i)), lambda i: i.isNotNull())
+
+    def upto(i: Column, n: Column) -> Column:
+        begin = F.coalesce(F.get("gaps", n - 1) + 2, F.lit(1))
+        return F.array(F.flatten(F.slice("known", begin, i - begin + 1)), F.get("own", n))
+
+    after = F.slice("known", F.coalesce(F.get("gaps", F.size("gaps") - 1) + 2, F.lit(1)), F.lit(1 << 30))
+    pieced = F.concat(F.flatten(F.flatten(F.transform("gaps", upto))), F.flatten(after))
+    ids = F.when(F.size("gaps") == 0, F.flatten("known")).otherwise(pieced)
+    return both.withColumn("gaps", gaps).select(F.col("k").alias(key), ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> Column:

@@ -9,13 +9,16 @@ pytestmark = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no v
 TEXTS = ["Hello world, it's 2024!  Two  spaces\n\n\tand tabs ", "<|endoftext|> isn't special", "naïve café Đặng 検索拡張 👩🏽‍💻  x　y", "", None, "ZorlibekFlow ZorlibekFlow aaaaaaaaaaaaaaaa", " ", "\x07\x00ctrl", "x" * 3000 + "aB" * 1500, "don't I'LL we've"]
 
 
-def test_ids_and_round_trip(spark):
+@pytest.mark.parametrize("most", [0, 4, bpe.DICTIONARY])
+def test_ids_and_round_trip(spark, most):
+    """With no word, some words and all words in the dictionary; rows whose key and text come again are each encoded."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.VOCABULARY)
     tokenizer.encode_special_tokens = True
     table = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in enumerate(TEXTS * 5)], SCHEMA)
-    encoded = bpe.encode(table)
+    encoded = bpe.encode(table.union(table), most=most)
+    assert encoded.count() == 2 * table.count()
     got = {r["doc_id"]: r["ids"] for r in encoded.collect()}
     for i, t in enumerate(TEXTS * 5):
         assert got[i] == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
