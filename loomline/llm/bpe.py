@@ -23,9 +23,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word. Loops are of
 #: single classes or possessive, which Java matches without recursion, so that a word of any length is fine.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?LETTERS| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in the dictionary, at most, and the fewest occurrences of one.
-DICTIONARY, OFTEN = 100_000, 3
-BUCKETS = 1 << 17
+#: Words in the dictionary, at most (it stands in the plan, which each task and the driver hold), and the fewest occurrences of one.
+DICTIONARY, OFTEN = 30_000, 3
+BUCKETS = 1 << 16
 _SHIFT = 1 << 17  # above any token id
 _NONE = (1 << 30) * _SHIFT  # the rank of no pair
 
@@ -161,9 +161,10 @@ def split_words(text: Column, path: str = VOCABULARY) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(split_pattern(path)), 0)
 
 
-def count_words(words: Column, rows: DataFrame) -> DataFrame:
-    """(word, n) of all distinct words."""
-    return cut_lineage(rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+def fold_words(words: Column, rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(word, n, ids) of all distinct words."""
+    counts = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return cut_lineage(counts.select("word", "n", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids")))
 
 
 def least_count(counts: DataFrame, most: int = DICTIONARY, often: int = OFTEN) -> int | None:
@@ -181,11 +182,6 @@ def least_count(counts: DataFrame, most: int = DICTIONARY, often: int = OFTEN) -
     return least
 
 
-def fold_words(counts: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, ids) of distinct words."""
-    return counts.select("word", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids"))
-
-
 def _dictionary(known: DataFrame) -> Column:
     """A literal array of BUCKETS maps from word to ids; ``known`` has DICTIONARY rows at most."""
     rows = known.select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b"), "word", "ids").collect()
@@ -205,10 +201,11 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """
     rows = texts.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     words = split_words(F.col("t"), path)
-    counts = count_words(words, rows)
-    least = least_count(counts, most)
-    known = _dictionary(fold_words(counts.where(F.col("n") >= least) if least else counts.limit(0), path))
-    others = fold_words(counts.where(F.col("n") < least) if least else counts, path)
+    folded = fold_words(words, rows, path)
+    least = least_count(folded, most)
+    known = _dictionary(folded.where(F.col("n") >= least) if least else folded.limit(0))
+    others = folded.where(F.col("n") < least) if least else folded
+    others = others.select("word", "ids")
 
     def found(word: Column) -> Column:
         return F.try_element_at(F.get(known, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")), word)
