@@ -22,7 +22,7 @@ from loomline.session import cut_lineage
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word. Loops are of
 #: single classes or possessive, which Java matches without recursion, so that a word of any length is fine.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?LETTERS| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"(?U) ?LETTERS| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the dictionary, at most (it stands in the plan, which each task and the driver hold), and the fewest occurrences of one.
 DICTIONARY, OFTEN = 30_000, 3
 BUCKETS = 1 << 16
@@ -154,7 +154,7 @@ def split_pattern(path: str = VOCABULARY) -> str:
     held = {t[i : i + 2] for t in load(path)["pieces"].values() for i in range(len(t) - 1)}
     apart = {b: "".join(a for a in string.ascii_lowercase if (a + b).encode() not in held) for b in string.ascii_uppercase}
     cut = "|".join(f"[{small}]{b}" for b, small in apart.items() if small)
-    return PATTERN.replace("LETTERS", rf"\p{{L}}(?:[\p{{L}}&&[^A-Z]]++|[A-Z](?<!{cut}))*+" if cut else r"\p{L}+")
+    return PATTERN.replace("LETTERS", rf"\p{{L}}(?:[a-z]++|[A-Z](?<!{cut})|[\p{{L}}&&[^A-Za-z]]++)*+" if cut else r"\p{L}+")
 
 
 def split_words(text: Column, path: str = VOCABULARY) -> Column:
@@ -211,21 +211,19 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
         return F.try_element_at(F.get(known, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")), word)
 
     rows = rows.withColumns({"h": F.xxhash64("k", "t"), "g": F.xxhash64("t", "k")})
-    places = rows.select("h", "g", F.posexplode(F.filter(words, lambda w: found(w).isNull())).alias("at", "word"))
-    # the same row again gives the same places: a set
-    own = places.join(others, "word").groupBy("h", "g").agg(F.array_sort(F.collect_set(F.struct("at", "ids")))["ids"].alias("own"))
-    both = rows.join(own, ["h", "g"], "left").select("k", "own", F.transform(words, found).alias("known"))
-    # the words between two places, and then the word of the place
-    gaps = F.filter(F.transform("known", lambda w, i: F.when(w.isNull(), i)), lambda i: i.isNotNull())
-
-    def upto(i: Column, n: Column) -> Column:
-        begin = F.coalesce(F.get("gaps", n - 1) + 2, F.lit(1))
-        return F.array(F.flatten(F.slice("known", begin, i - begin + 1)), F.get("own", n))
-
-    after = F.slice("known", F.coalesce(F.get("gaps", F.size("gaps") - 1) + 2, F.lit(1)), F.lit(1 << 30))
-    pieced = F.concat(F.flatten(F.flatten(F.transform("gaps", upto))), F.flatten(after))
-    ids = F.when(F.size("gaps") == 0, F.flatten("known")).otherwise(pieced)
-    return both.withColumn("gaps", gaps).select(F.col("k").alias(key), ids.alias("ids"))
+
+    def bucket(word: Column, count: Column) -> Column:
+        return F.pmod(F.xxhash64(word), count).cast("int")
+
+    missing = rows.select("h", "g", F.array_distinct(F.filter(words, lambda w: found(w).isNull())).alias("w"))
+    # a look-up in a map reads it from its start: a text's words lie in maps within a map, both of few entries
+    missing = missing.select("h", "g", F.explode("w").alias("word"), F.ceil(F.sqrt(F.size("w")) / 4).alias("maps"))
+    own = missing.join(others, "word").withColumn("b", bucket(F.col("word"), F.col("maps"))).repartition("h", "g")
+    # the same row again gives the same words: a set
+    own = own.groupBy("h", "g", "maps", "b").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("m"))
+    own = own.groupBy("h", "g").agg(F.max("maps").alias("maps"), F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("own"))
+    ids = F.transform(words, lambda w: F.coalesce(found(w), F.try_element_at(F.try_element_at("own", bucket(w, F.col("maps"))), w)))
+    return rows.join(own, ["h", "g"], "left").select(F.col("k").alias(key), F.flatten(ids).alias("ids"))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> Column:
