@@ -163,7 +163,8 @@ def split_words(text: Column, path: str = VOCABULARY) -> Column:
 
 def fold_words(words: Column, rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(word, n, ids) of all distinct words."""
-    counts = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # outer, since a filter of empty arrays before the explode would split each text twice
+    counts = rows.select(F.explode_outer(words).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     return cut_lineage(counts.select("word", "n", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids")))
 
 
@@ -217,7 +218,7 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     missing = rows.select("h", "g", F.array_distinct(F.filter(words, lambda w: found(w).isNull())).alias("w"))
     # a look-up in a map reads it from its start: a text's words lie in maps within a map, both of few entries
-    missing = missing.select("h", "g", F.explode("w").alias("word"), F.ceil(F.sqrt(F.size("w")) / 4).alias("maps"))
+    missing = missing.withColumn("maps", F.ceil(F.sqrt(F.size("w")) / 4)).select("h", "g", "maps", F.explode_outer("w").alias("word"))
     own = missing.join(others, "word").withColumn("b", bucket(F.col("word"), F.col("maps"))).repartition("h", "g")
     # the same row again gives the same words: a set
     own = own.groupBy("h", "g", "maps", "b").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("m"))
