@@ -2,14 +2,13 @@
 
 Two texts are near-duplicates if they share at least THRESHOLD of their words, counted with multiplicity in any order,
 of the longer one's words. A text is a bag of words; equal bags are handled once. Candidates share one of their rarest
-words: of n words the n - ceil(0.8 n) + 1 rarest must contain a common one, so no pair is lost. Candidates' MinHash values
+words: of n words the n - ceil(0.8 n) + 1 first ones in any order of all words must contain a common one, so no pair is lost. Candidates' MinHash values
 are then compared a few at a time, a pair is dropped as soon as the posterior probability of reaching the threshold falls
 below TOLERANCE, and the rest is verified exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +20,12 @@ from pyspark.sql import functions as F
 from loomline.session import cut_lineage
 
 THRESHOLD, LEAST_WORDS, TOLERANCE = 0.8, 8, 1e-7
+#: MinHash values compared so far after each step. A value has eight bits, eight of them lie in a number; that different
+#: ones are equal by chance only keeps a pair longer.
 STEPS = (16, 32, 48, 64)
+#: Words with this share of all words are ordered by their count, the others, all rarer, by their hash alone. There are at
+#: most 1 / SHARE of them, so what is sent to the tasks has a bound.
+SHARE = 1e-6
 
 
 @lru_cache
@@ -44,77 +48,119 @@ def least_matches(threshold: float, steps: tuple[int, ...] = STEPS, tolerance: f
     return tuple(out)
 
 
-def _signatures(rows: DataFrame, length: int) -> DataFrame:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a batch of lists, and where each list begins, with the end."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+
+
+def _signatures(rows: DataFrame) -> DataFrame:
     """(bag, tokens, sig) of (bag, hashes of the sorted words).
 
     A token is the hash of a word and its running number among equal words, so that sets of tokens stand for multisets of
-    words; sig has ``length`` MinHash values.
+    words; sig has the MinHash values of STEPS, eight in a number.
     """
-    random = np.random.default_rng(20240101)
+    random, length = np.random.default_rng(20240101), STEPS[-1]
     a = random.integers(1, 1 << 62, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = random.integers(0, 1 << 62, length, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = (lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]).astype(np.int32)
-            hashes, starts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), offsets[:-1]
+            hashes, offsets = _flat(batch.column(1))
+            hashes, starts = hashes.view(np.uint64), offsets[:-1]
             new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
             new[starts] = True
             index = np.arange(len(hashes))
             again = index - np.maximum.accumulate(np.where(new, index, 0)) if len(hashes) else index
             flat = hashes + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            sig = np.empty((len(lists), length), np.int32)
-            for j in range(length if len(lists) else 0):
+            sig = np.empty((len(starts), length), np.uint8)
+            for j in range(length if len(starts) else 0):
                 mixed = flat * a[j] + b[j]
                 mixed ^= mixed >> np.uint64(32)
                 mixed *= np.uint64(0xD6E8FEB86659FD93)
-                sig[:, j] = (np.minimum.reduceat(mixed, starts) >> np.uint64(33)).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-            sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * length), pa.array(sig.ravel()))
+                sig[:, j] = (np.minimum.reduceat(mixed, starts) >> np.uint64(33)).astype(np.uint8)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
+            packed = sig.ravel().view(np.int64)
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (length // 8)), pa.array(packed))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, sigs], names=["bag", "tokens", "sig"])
 
-    return rows.select("bag", "hashes").mapInArrow(run, "bag string, tokens array<bigint>, sig array<int>")
+    return rows.select("bag", "hashes").mapInArrow(run, "bag string, tokens array<bigint>, sig array<bigint>")
 
 
-def _survives(a: Column, b: Column, threshold: float) -> Column:
-    """The incremental comparison: AND stops at the first step that drops the pair."""
-    kept, before, so_far = F.lit(True), 0, F.lit(0)
-    for m, least in zip(STEPS, least_matches(threshold), strict=True):
-        equal = F.zip_with(F.slice(a, before + 1, m - before), F.slice(b, before + 1, m - before), lambda x, y: (x == y).cast("int"))
-        so_far = so_far + F.aggregate(equal, F.lit(0), lambda n, e: n + e)
-        kept, before = kept & (so_far >= least), m
-    return kept
+def _rarest(once: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, s0 to s3, token) for each of the rarest tokens of (id, tokens, sig): the prefix that near-duplicates share."""
+    counts = once.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    total = once.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    often = counts.where(F.col("df") >= F.greatest(F.lit(2.0), F.lit(total * SHARE))).toPandas().sort_values("token")
+    known = once.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["df"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, times = known.value
+        for batch in batches:
+            flat, offsets = _flat(batch.column("tokens"))
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            df = np.zeros(len(flat), np.int64)
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
+                df = np.where(listed[at] == flat, times[at], 0)
+            order = np.lexsort((flat, df, row))
+            n = np.diff(offsets)
+            size = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            first = order[np.arange(len(flat)) - offsets[:-1][row] < size[row]]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat[first]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int32)), batch.column("sig"), prefix], names=["id", "n", "sig", "prefix"])
+
+    made = once.select("id", "tokens", "sig").mapInArrow(run, "id bigint, n int, sig array<bigint>, prefix array<bigint>")
+    return made.select("id", "n", *(F.col("sig")[i].alias(f"s{i}") for i in range(4)), F.explode_outer("prefix").alias("token"))
+
+
+def _equal(a: Column, b: Column) -> Column:
+    """Of eight values of eight bits, how many are equal."""
+    x = a.bitwiseXOR(b)
+    for wide in (1, 2, 4):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, wide))
+    return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def _survives(a: list[Column], b: list[Column], threshold: float, steps: slice, before: Column | None = None) -> tuple[Column, Column]:
+    """(whether the pair is kept, equal values so far): AND stops at the first step that drops the pair."""
+    kept, so_far, used = F.lit(True), F.lit(0) if before is None else before, 0
+    for least in least_matches(threshold)[steps]:
+        for i in (used, used + 1):
+            so_far = so_far + _equal(a[i], b[i])
+        kept, used = kept & (so_far >= least), used + 2
+    return kept, so_far
 
 
 def bags(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bag, n, tokens) of rows with at least LEAST_WORDS words; tokens are hashes of word and occurrence."""
+    """Distinct (key, bag, hashes) of rows with at least LEAST_WORDS words: hashes of the sorted words, repeated ones too."""
     words = F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0))
     made = rows.where(F.col(key).isNotNull()).select(key, words.alias("w")).where(F.size("w") >= LEAST_WORDS)
-    return made.select(key, F.md5(F.concat_ws(" ", "w")).alias("bag"), "w").distinct()
+    hashed = F.array_sort(F.transform("w", lambda x: F.xxhash64(x)))
+    return made.select(key, F.md5(F.concat_ws(" ", "w")).alias("bag"), hashed.alias("hashes")).distinct()
 
 
 def similar_bags(made: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (bag_a, bag_b), a < b, of different bags (bag, w: sorted words) at least ``threshold`` similar."""
-    hashed = made.select("bag", "w").distinct().select("bag", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
-    once = cut_lineage(_signatures(hashed, STEPS[-1]))
-    tokens = once.select("bag", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    # rarest first; the order of all tokens is the same for every bag
-    listed = tokens.join(counts, "token").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    first = listed.select("bag", "n", F.explode(F.slice("t", F.lit(1), prefix)).alias("t")).select("bag", "n", "t.token")
-    # sizes of a pair differ by 1 / threshold at most: bands of that width, own and next
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
-    left = first.select(F.col("bag").alias("x"), F.col("n").alias("nx"), "token", F.explode(F.array(band, band + 1)).alias("band"), band.alias("bx"))
-    right = first.select(F.col("bag").alias("y"), F.col("n").alias("ny"), "token", band.alias("band"))
-    near = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & ((F.col("bx") < F.col("band")) | (F.col("x") < F.col("y")))
-    pairs = left.join(right, ["token", "band"]).where(near & (F.col("x") != F.col("y")))
-    pairs = pairs.select(F.least("x", "y").alias("bag_a"), F.greatest("x", "y").alias("bag_b")).distinct()
-    side = lambda s: once.select(F.col("bag").alias(f"bag_{s}"), F.col("tokens").alias(f"t{s}"), F.col("sig").alias(f"s{s}"))
-    both = pairs.join(side("a"), "bag_a").join(side("b"), "bag_b")
+    """Distinct pairs (bag_a, bag_b), a < b, of different bags (bag, hashes) at least ``threshold`` similar.
+
+    The first MinHash values go along with the rarest tokens, so that the join that finds a pair drops it at once where
+    they differ; the other values and the tokens are fetched for the pairs left. Hot tokens are left to AQE's skew join.
+    """
+    once = _signatures(made.select("bag", "hashes").distinct()).withColumn("id", F.monotonically_increasing_id())
+    once = cut_lineage(once)  # so that an id stays with its bag
+    first = _rarest(once, threshold)
+    x, y = first.alias("x"), first.alias("y")
+    near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9
+    lanes = lambda side, n: [F.col(f"{side}.s{i}") for i in range(n)]
+    kept, equal = _survives(lanes("x", 4), lanes("y", 4), threshold, slice(0, 2))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & near & kept)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), equal.alias("equal")).distinct()
+    rest = once.select("id", *(F.col("sig")[i + 4].alias(f"s{i}") for i in range(4)))
+    pairs = pairs.join(rest.alias("x"), F.col("a") == F.col("x.id")).join(rest.alias("y"), F.col("b") == F.col("y.id"))
+    pairs = pairs.where(_survives(lanes("x", 4), lanes("y", 4), threshold, slice(2, 4), F.col("equal"))[0]).select("a", "b")
+    side = lambda s: once.select(F.col("id").alias(s), F.col("bag").alias(f"bag_{s}"), F.col("tokens").alias(f"t{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("ta", "tb")) >= F.greatest(F.size("ta"), F.size("tb")) * threshold - 1e-9
-    return both.where(_survives(F.col("sa"), F.col("sb"), threshold)).where(shared).select("bag_a", "bag_b")
+    return both.where(shared).select(F.least("bag_a", "bag_b").alias("bag_a"), F.greatest("bag_a", "bag_b").alias("bag_b"))
 
 
 def near_duplicates(rows: DataFrame, key: str = "sentence_id", text: str = "sentence", threshold: float = THRESHOLD) -> DataFrame:
