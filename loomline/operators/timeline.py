@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from math import log, sqrt
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import date_struct, mend_hyphens, strip, topic_key
+from loomline.session import cut_lineage
 
-SIMILAR, MOST, HELD = 0.78, 30, 400
+#: The least similarity of a paraphrase, and the events of a topic's timeline.
+SIMILAR, MOST = 0.78, 30
 
 
 def event_rows(labelled: DataFrame) -> DataFrame:
@@ -30,51 +29,67 @@ def event_rows(labelled: DataFrame) -> DataFrame:
     return kept.select("sentence_id", "doc_id", "topic", "event_type", F.col("d.extracted_year").alias("year"), F.col("d.normalized_date").alias("date"), F.col("d.confidence").alias("confidence"), "sentence")
 
 
-def _vectors(texts: list[str]) -> list[dict[str, float]]:
-    """Normalised tf-idf of words and pairs of words."""
-    bags = []
-    for t in texts:
-        w = re.findall(r"\w\w+", t.lower())
-        bags.append(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
-    df = Counter(g for b in bags for g in b)
-    out = []
-    for b in bags:
-        v = {g: n * (log((1 + len(bags)) / (1 + df[g])) + 1) for g, n in b.items()}
-        norm = sqrt(sum(x * x for x in v.values())) or 1.0
-        out.append({g: x / norm for g, x in v.items()})
-    return out
+GROUP = ["topic", "year", "event_type"]
 
 
-def clusters(rows: DataFrame, similar: float = SIMILAR, held: int = HELD) -> DataFrame:
+def _weighed(once: DataFrame) -> DataFrame:
+    """(id, GROUP, term, weight, first) of each sentence's words and pairs of words: tf-idf within the group, of length one.
+
+    ``first`` marks the rarest terms, up to where the others together are shorter than SIMILAR. Two sentences as similar as
+    that share a term which is marked in both: of their common terms the rarest.
+    """
+    w = F.regexp_extract_all(F.lower(F.coalesce("sentence", F.lit(""))), F.lit(r"(?U)\w\w+"), 0)
+    listed = once.select("id", *GROUP, "times", w.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    terms = F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))
+    counted = listed.select("id", *GROUP, "times", F.explode(terms).alias("term")).groupBy("id", *GROUP, "times", "term").agg(F.count("*").alias("tf"))
+    df = counted.groupBy(*GROUP, "term").agg(F.sum("times").alias("df"))
+    sizes = once.groupBy(*GROUP).agg(F.sum("times").alias("n"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    weighed = counted.join(df, [*GROUP, "term"]).join(sizes, GROUP).withColumn("x", F.col("tf") * idf)
+    own = Window.partitionBy("id")
+    before = F.sum(F.col("x") * F.col("x")).over(own.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    whole = weighed.withColumn("whole", F.sum(F.col("x") * F.col("x")).over(own)).withColumn("before", F.coalesce(before, F.lit(0.0)))
+    marked = F.col("whole") - F.col("before") >= (SIMILAR * SIMILAR - 1e-9) * F.col("whole")
+    return whole.select("id", *GROUP, "term", (F.col("x") / F.sqrt("whole")).alias("weight"), marked.alias("first"))
+
+
+def similar_sentences(once: DataFrame) -> DataFrame:
+    """(id, to): pairs of different sentences of a group at least SIMILAR, from the later one (by ``at``) to the earlier."""
+    weighed = cut_lineage(_weighed(once))
+    marked = weighed.where("first").join(once.select("id", "at"), "id").select("id", "at", *GROUP, "term")
+    x = marked.select(*GROUP, "term", "id", "at")
+    y = marked.select(*GROUP, "term", F.col("id").alias("to"), F.col("at").alias("to_at"))
+    pairs = x.join(y, [*GROUP, "term"]).where("to_at < at").select("id", "to").distinct()
+    # the product of the pair, term by term, so that no sentence is too long
+    left, right = weighed.select("id", "term", "weight"), weighed.select(F.col("id").alias("to"), "term", F.col("weight").alias("other"))
+    product = pairs.join(left, "id").join(right, ["to", "term"]).groupBy("id", "to").agg(F.sum(F.col("weight") * F.col("other")).alias("s"))
+    return product.where(F.col("s") >= SIMILAR - 1e-9).select("id", "to")
+
+
+def clusters(rows: DataFrame) -> DataFrame:
     """Events with their cluster: greedy leaders within (topic, year, event_type), the surest sentences first.
 
-    A sentence joins the first cluster with a member at least ``similar`` to it, else it starts one. Groups are cut by hash
-    of the sentence's rarest long word into parts, so that a hot group is never one task; within a part the greedy order is
-    exact. Parts hold about ``held`` rows.
+    Equal sentences of a group count as one, at the place of the surest. A sentence joins the first cluster that an earlier
+    sentence at least SIMILAR to it is in, else it starts one. That is the first leader it reaches over links to earlier
+    sentences, so the least leader is passed along the links until nothing changes, whatever the size of a group.
     """
-    key = ["topic", "year", "event_type"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    longest = F.element_at(F.array_sort(F.transform(F.regexp_extract_all("sentence", F.lit(r"\w+"), 0), lambda w: F.struct(-F.length(w), w))), 1)
-    parted = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(longest), F.ceil(F.col("n") / held)))
-
-    def lead(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["confidence", "sentence_id"], ascending=[False, True]).reset_index(drop=True)
-        vectors, places, leaders, where = _vectors(f["sentence"].tolist()), {}, [], []
-        for i, v in enumerate(vectors):
-            near: Counter = Counter()
-            for g, x in v.items():
-                for j, y in places.get(g, ()):
-                    near[j] += x * y
-            joined = sorted(where[j] for j, s in near.items() if s >= similar)
-            where.append(joined[0] if joined else len(leaders))
-            if not joined:
-                leaders.append(f["sentence_id"][i])
-            for g, x in v.items():
-                places.setdefault(g, []).append((i, x))
-        return f.assign(cluster=[leaders[c] for c in where])[["sentence_id", "cluster"]]
-
-    found = parted.select(*key, "part", "sentence_id", "sentence", "confidence").groupBy(*key, "part").applyInPandas(lead, "sentence_id string, cluster string")
-    return rows.join(found, "sentence_id")
+    order = F.struct((-F.col("confidence")).alias("c"), F.col("sentence_id"))
+    once = rows.groupBy(*GROUP, "sentence").agg(F.min(order).alias("at"), F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id())
+    once = cut_lineage(once)  # so that an id stays with its sentence
+    links = cut_lineage(similar_sentences(once))
+    following = links.select("id").distinct().withColumn("follows", F.lit(True))
+    labels = once.select("id", "at").join(following, "id", "left").select("id", F.when(F.col("follows").isNull(), F.col("at")).alias("leader"))
+    labels, changed = cut_lineage(labels), not links.isEmpty()
+    while changed:
+        told = links.join(labels.select(F.col("id").alias("to"), "leader"), "to").groupBy("id").agg(F.min("leader").alias("told"))
+        nearer = F.coalesce(F.col("told") < F.col("leader"), F.col("told").isNotNull())
+        now = labels.join(told, "id", "left").select("id", F.when(nearer, F.col("told")).otherwise(F.col("leader")).alias("leader"), nearer.alias("moved"))
+        now = cut_lineage(now)
+        changed, labels = not now.where("moved").isEmpty(), now.drop("moved")
+    named = once.join(labels, "id").select(*GROUP, "sentence", F.col("leader.sentence_id").alias("cluster"))
+    same = reduce(lambda x, y: x & y, (rows[c].eqNullSafe(named[c]) for c in (*GROUP, "sentence")))
+    return rows.join(named, same).select(*(rows[c] for c in rows.columns), named["cluster"])
 
 
 def timeline(rows: DataFrame, most: int = MOST) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -111,6 +112,51 @@ def test_timeline_joins_paraphrases(spark):
     assert [(r["event_id"], r["date"], r["size"], r["sources"]) for r in out] == [("rag_evt_001", "2023-03", 2, 2)]
 
 
+def greedy(rows):
+    """The cluster of each sentence, by a loop: rows are (sentence_id, sentence, confidence) of one group."""
+    first = {}
+    for k, text, c in rows:
+        first[text] = min(first.get(text, (-c, k)), (-c, k))
+    order = sorted((at, text) for text, at in first.items())
+    times, bags = Counter(text for _, text, _ in rows), {}
+    for _, text in order:
+        w = re.findall(r"\w\w+", text.lower())
+        bags[text] = Counter(w + [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)])
+    df = Counter()
+    for text, bag in bags.items():
+        for g in bag:
+            df[g] += times[text]
+    unit = {}
+    for text, bag in bags.items():
+        v = {g: n * (np.log((1 + len(rows)) / (1 + df[g])) + 1) for g, n in bag.items()}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1
+        unit[text] = {g: x / norm for g, x in v.items()}
+    found = {}
+    for (_, k), text in order:
+        near = [found[t] for t in found if sum(x * unit[t].get(g, 0) for g, x in unit[text].items()) >= timeline.SIMILAR - 1e-9]
+        found[text] = min(near) if near else (first[text][0], k)
+    return {k: found[text][1] for k, text, _ in rows}
+
+
+def test_clusters_against_a_loop_in_a_group_of_hundreds(spark):
+    r = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(60)]
+    rows = []
+    for g in range(120):
+        base = [r.choice(vocabulary) for _ in range(r.randrange(6, 14))]
+        for _ in range(r.randrange(1, 8)):
+            w = list(base)
+            if r.random() < 0.7:
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            rows.append((f"s{len(rows):04d}", " ".join(w), r.choice([0.7, 0.85, 0.9])))
+    rows += [("t1", "\u2014", 0.4), ("t2", "\u0417\u0430\u043f\u0443\u0449\u0435\u043d\u043e \u0441\u0435\u0433\u043e\u0434\u043d\u044f", 0.4), ("t3", "", 0.4)]
+    assert len(rows) > 400
+    table = spark.createDataFrame([(k, f"d{k}", "rag", "release", 2023, "2023", c, t) for k, t, c in rows], "sentence_id string, doc_id string, topic string, event_type string, year int, date string, confidence double, sentence string")
+    got = {x["sentence_id"]: x["cluster"] for x in timeline.clusters(table).collect()}
+    assert got == greedy(rows)
+    assert timeline.clusters(table.limit(0)).count() == 0
+
+
 def test_register_and_candidates(spark):
     meta = "doc_id string, title string, topic string, year string, published_date string, authors string, source_url string, retrieved_at string"
     known = spark.createDataFrame([("rag_1", "Old  Title", "rag", "2020.0", None, "A; B ;", "u", "2024"), ("rag_1", "Old Title", "rag", "2020", None, "A", "u", "2023"), ("rag_12", None, None, None, "2019-02", None, None, None)], meta)
