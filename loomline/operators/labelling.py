@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import strip
+from loomline.functions.text import round6, strip
+from loomline.operators.segments import global_numbers
 
 # Verbs of events.
 EVENT_VERBS = (
-    "propose proposed proposes introduce introduced introduces release released releases publish published publishes announce announced announces "
-    "launch launched launches develop developed develops outperform outperformed outperforms evaluate evaluated evaluates benchmark benchmarks "
-    "apply applied applies integrate integrated integrates deploy deployed deploys present presented presents"
+    "propose proposed proposes proposing introduce introduced introduces introducing release released releases releasing publish published publishes "
+    "announce announced announces launch launched launches develop developed develops outperform outperformed outperforms evaluate evaluated evaluates "
+    "benchmark benchmarks apply applied applies integrate integrated integrates deploy deployed deploys present presented presents"
+).split()
+# Names whose mention makes an event likely.
+ENTITIES = (
+    "BERT GPT LLM Transformer DistilBERT MobileBERT TinyBERT MiniLM AutoGPT BabyAGI AutoGen REALM DPR RETRO Atlas Self-RAG FLARE CRAG LangChain LangGraph "
+    "LlamaIndex HotpotQA FEVER GLUE SQuAD TriviaQA MMLU GSM8k HumanEval"
 ).split()
+# Dates that count as a sign of an event.
+DATES = (r"\b(?:19|20)\d{2}\b", r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? (?:19|20)\d{2}\b")
 # Label sets.
 EVENT_TYPES = ("method_proposed", "release", "benchmark", "trend_application", "none")
 LENGTHS, DOC_SHARE = (20, 500), 0.08
 
 
 def event_score(c: Column) -> Column:
-    """Two for each year and one for each event verb of a sentence."""
-    verbs = rf"(?i)\b(?:{'|'.join(EVENT_VERBS)})\b"
-    return (2 * F.regexp_count(c, F.lit(r"\b(?:19|20)\d{2}\b")) + F.regexp_count(c, F.lit(verbs))).cast("bigint")
+    """Two for each date, one for each event verb and each name of a sentence, in any case of letters."""
+    count = lambda pattern: F.regexp_count(c, F.lit(f"(?i){pattern}"))
+    words = [rf"\b(?:{'|'.join(w)})\b" for w in (EVENT_VERBS, ENTITIES)]
+    return (2 * (count(DATES[0]) + count(DATES[1])) + count(words[0]) + count(words[1])).cast("bigint")
 
 
 def bucket(score: Column) -> Column:
@@ -35,7 +42,8 @@ def doc_budgets(sizes: DataFrame, group: str, doc: str, target: int, least: int
 
     Every doc gets min(n, least) first; then docs take one more each in the order of their ids, up to ``cap`` (all of a doc
     of at most ``small`` rows), until the target is reached. A doc's extra rows become slots, and the slots of all docs
-    are taken by round and id.
+    are taken by round and id. If the least ones alone are more than the target, each doc in the order of ids gives up one,
+    until the target is met or all have.
     """
     floor = F.least("n", F.lit(least))
     most = F.when(F.col("n") <= small, F.col("n")).otherwise(F.least("n", F.lit(cap)))
@@ -54,8 +62,13 @@ def doc_budgets(sizes: DataFrame, group: str, doc: str, target: int, least: int
     turn = F.row_number().over(Window.partitionBy(group).orderBy(doc))
     begun = joined.where(F.col("extra") > F.col("full")).withColumn("turn", turn).where(F.col("turn") <= F.lit(target))
     one = begun.where(F.col("turn") <= F.col("rest")).select(group, doc, F.lit(1).alias("one"))
-    budget = F.col("floor") + F.least("extra", "full") + F.coalesce("one", F.lit(0))
-    return joined.join(one, [group, doc], "left").select(group, doc, budget.cast("bigint").alias("budget"))
+    # where the floors alone exceed the target: one less for each of the first docs, numbered range by range
+    over = base.join(given.where("left < 0"), group).select(group, doc, "left", F.struct(group, doc).alias("_both"))
+    numbered = global_numbers(over, "_both", [doc])
+    begins = numbered.groupBy(group).agg(F.min("number").alias("_begin"))
+    less = numbered.join(begins, group).where(F.col("number") - F.col("_begin") < -F.col("left")).select(group, doc, F.lit(1).alias("less"))
+    budget = F.greatest(F.lit(0), F.col("floor") - F.coalesce("less", F.lit(0))) + F.least("extra", "full") + F.coalesce("one", F.lit(0))
+    return joined.join(one, [group, doc], "left").join(less, [group, doc], "left").select(group, doc, budget.cast("bigint").alias("budget"))
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -108,20 +121,16 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     return both.select("label", "support", six(p).alias("precision"), six(r).alias("recall"), six(f1).alias("f1"))
 
 
-def any_of(c: Column, needles: list[str]) -> Column:
-    """Whether the text holds any of the needles."""
-    return reduce(lambda x, n: x | c.contains(n), needles, F.lit(False))
-
-
-def draw_by_bucket(scored: DataFrame, budgets: DataFrame, group: str, doc: str, key: str, shares: tuple[float, float] = (0.4, 0.3), seed: int = 42, cap: int = 100) -> DataFrame:
+def draw_by_bucket(scored: DataFrame, budgets: DataFrame, group: str, doc: str, key: str, shares: tuple[float, float] = (0.4, 0.3), seed: int = 42) -> DataFrame:
     """``budget`` rows of each doc: shares of high and medium ones, the rest low, in the order of a hash.
 
     ``scored`` has (group, doc, key, bucket). Where a bucket has too few rows, the rows beyond the other buckets' quotas
-    fill up, high ones first. Budgets are at most ``cap``, so that Spark keeps no more of a bucket before it shuffles.
+    fill up, high ones first. Spark keeps no more of a bucket than the greatest budget before it shuffles.
     """
+    most = budgets.agg(F.max("budget")).first()[0] or 0
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     inside = Window.partitionBy(group, doc, "bucket").orderBy("_h", key)
-    ranked = scored.withColumn("_h", order).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= F.lit(cap)).join(budgets, [group, doc]).where(F.col("_r") <= F.col("budget"))
+    ranked = scored.withColumn("_h", order).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= F.lit(most)).join(budgets, [group, doc]).where(F.col("_r") <= F.col("budget"))
     high, medium = (F.floor(F.col("budget") * s + 0.5) for s in shares)
     quota = F.when(F.col("bucket") == "high", high).when(F.col("bucket") == "medium", medium).otherwise(F.col("budget") - high - medium)
     place = F.when(F.col("bucket") == "high", 0).when(F.col("bucket") == "medium", 1).otherwise(2)

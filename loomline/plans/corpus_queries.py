@@ -6,17 +6,13 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import topic_key
 from loomline.operators import classify, corpus, labelling, timeline
-from loomline.plans.shared import REGISTRY
+from loomline.plans.shared import REGISTRY, STRIP, topic_sql
+from loomline.session import cut_lineage
 from loomline.sources.tables import table
 from loomline.streaming import windows
 
 LABELS = "labeling_candidates_sample"
-_STRIP = r"regexp_replace({}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"
-
-
-def _topic(c: str = "topic") -> str:
-    key = f"lower(translate({_STRIP.format(f"coalesce({c}, '')")}, '- ', '__'))"
-    return f"CASE WHEN contains({key}, 'distill') THEN 'knowledge_distillation' WHEN contains({key}, 'agent') THEN 'ai_agent' WHEN contains({key}, 'rag') THEN 'rag' ELSE {key} END"
+_STRIP, _topic = STRIP, topic_sql
 
 
 def _year(*columns: str) -> str:
@@ -79,8 +75,11 @@ def document_splits(spark, d):
     return corpus.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 
 
-_VERBS = "|".join(labelling.EVENT_VERBS)
-_SCORE = rf"2 * len(regexp_extract_all(sentence, '\b(?:19|20)\d{{2}}\b')) + len(regexp_extract_all(sentence, '(?i)\b(?:{_VERBS})\b'))"
+def _times(pattern: str) -> str:
+    return f"len(regexp_extract_all(sentence, '(?i){pattern}'))"
+
+
+_SCORE = f"2 * ({_times(labelling.DATES[0])} + {_times(labelling.DATES[1])}) + " + " + ".join(_times(rf"\b(?:{'|'.join(w)})\b") for w in (labelling.EVENT_VERBS, labelling.ENTITIES))
 
 
 @REGISTRY.query("label_scores", f"SELECT DISTINCT sentence_id, CAST(s AS BIGINT) AS score, CASE WHEN s >= 3 THEN 'high' WHEN s >= 1 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT sentence_id, {_SCORE} AS s FROM {LABELS} WHERE sentence IS NOT NULL)")
@@ -89,19 +88,28 @@ def label_scores(spark, d):
     return rows.withColumn("bucket", labelling.bucket(F.col("score"))).distinct()
 
 
+#: Rows of a topic, fewest and most of a document, and size up to which a document is small.
+_TARGET, _LEAST, _CAP, _SMALL = 600, 10, 100, 60
+_BUDGETS = f"""b AS (SELECT *, least(n, {_LEAST}) AS floor, greatest(CASE WHEN n <= {_SMALL} THEN n ELSE least(n, {_CAP}) END - least(n, {_LEAST}), 0) AS extra FROM n),
+    s AS (SELECT topic, doc, unnest(generate_series(1, extra)) AS round FROM b WHERE extra > 0),
+    g AS (SELECT topic, {_TARGET} - sum(floor) AS room FROM b GROUP BY topic),
+    t AS (SELECT topic, doc, count(*) AS more FROM (SELECT s.topic, doc, row_number() OVER (PARTITION BY s.topic ORDER BY round, doc) AS at_slot, room FROM s JOIN g USING (topic)) WHERE at_slot <= room GROUP BY ALL),
+    u AS (SELECT b.*, row_number() OVER (PARTITION BY b.topic ORDER BY doc) AS at_doc, room FROM b JOIN g USING (topic)),
+    budgets AS (SELECT topic, doc, CAST(greatest(0, floor - CASE WHEN at_doc <= -room THEN 1 ELSE 0 END) + coalesce(more, 0) AS BIGINT) AS budget FROM u LEFT JOIN t USING (topic, doc))"""
+
+
+def _budgets(sizes):
+    return labelling.doc_budgets(sizes, "topic", "doc", _TARGET, _LEAST, _CAP, _SMALL)
+
+
 @REGISTRY.query(
     "label_budgets",
     f"""WITH n AS (SELECT {_topic()} AS topic, doc_id AS doc, count(DISTINCT sentence_id) AS n FROM {LABELS} WHERE doc_id IS NOT NULL AND sentence_id IS NOT NULL GROUP BY 1, 2),
-    b AS (SELECT *, least(n, 2) AS floor, greatest(CASE WHEN n <= 6 THEN n ELSE least(n, 20) END - least(n, 2), 0) AS extra FROM n),
-    s AS (SELECT topic, doc, unnest(generate_series(1, extra)) AS round FROM b WHERE extra > 0),
-    g AS (SELECT topic, 300 - sum(floor) AS room FROM b GROUP BY topic),
-    t AS (SELECT topic, doc, count(*) AS more FROM (SELECT s.topic, doc, row_number() OVER (PARTITION BY s.topic ORDER BY round, doc) AS at_slot, room FROM s JOIN g USING (topic)) WHERE at_slot <= room GROUP BY ALL)
-    SELECT topic, doc, CAST(floor + coalesce(more, 0) AS BIGINT) AS budget FROM b LEFT JOIN t USING (topic, doc)""",
+    {_BUDGETS} SELECT topic, doc, budget FROM budgets""",
 )
 def label_budgets(spark, d):
     rows = table(spark, d, LABELS).where("doc_id is not null and sentence_id is not null")
-    sizes = rows.groupBy(topic_key(F.col("topic")).alias("topic"), F.col("doc_id").alias("doc")).agg(F.countDistinct("sentence_id").alias("n"))
-    return labelling.doc_budgets(sizes, "topic", "doc", 300, least=2, cap=20, small=6)
+    return _budgets(rows.groupBy(topic_key(F.col("topic")).alias("topic"), F.col("doc_id").alias("doc")).agg(F.countDistinct("sentence_id").alias("n")))
 
 
 _KIND, _EVENT, _SENT = "lower(trim(coalesce(event_type, '')))", "trim(coalesce(is_event, ''))", "coalesce(sentence, '')"
@@ -201,17 +209,17 @@ _LABEL_ROWS = f"SELECT DISTINCT {_topic()} AS topic, doc_id AS doc, sentence_id,
     "label_sample",
     f"""WITH r AS (SELECT topic, doc, sentence_id, max({_SCORE}) AS s FROM ({_LABEL_ROWS}) WHERE sentence IS NOT NULL GROUP BY ALL),
     k AS (SELECT topic, doc, sentence_id, CASE WHEN s >= 3 THEN 'high' WHEN s >= 1 THEN 'medium' ELSE 'low' END AS bucket, md5('42:' || sentence_id) AS h FROM r),
-    b AS (SELECT topic, doc, least(count(*), 10) AS budget FROM k GROUP BY ALL),
-    o AS (SELECT k.*, budget, row_number() OVER (PARTITION BY topic, doc, bucket ORDER BY h, sentence_id) AS r FROM k JOIN b USING (topic, doc)),
+    n AS (SELECT topic, doc, count(*) AS n FROM k GROUP BY ALL), {_BUDGETS},
+    o AS (SELECT k.*, budget, row_number() OVER (PARTITION BY topic, doc, bucket ORDER BY h, sentence_id) AS r FROM k JOIN budgets USING (topic, doc)),
     q AS (SELECT *, CASE bucket WHEN 'high' THEN floor(budget * 0.4::DOUBLE + 0.5) WHEN 'medium' THEN floor(budget * 0.3::DOUBLE + 0.5) ELSE budget - floor(budget * 0.4::DOUBLE + 0.5) - floor(budget * 0.3::DOUBLE + 0.5) END AS quota FROM o WHERE r <= budget),
-    n AS (SELECT *, row_number() OVER (PARTITION BY topic, doc ORDER BY CASE WHEN r > quota THEN 1 ELSE 0 END, CASE bucket WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, h, sentence_id) AS n FROM q)
-    SELECT topic, doc, sentence_id, bucket FROM n WHERE n <= budget""",
+    z AS (SELECT *, row_number() OVER (PARTITION BY topic, doc ORDER BY CASE WHEN r > quota THEN 1 ELSE 0 END, CASE bucket WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, h, sentence_id) AS z FROM q)
+    SELECT topic, doc, sentence_id, bucket FROM z WHERE z <= budget""",
 )
 def label_sample(spark, d):
     rows = table(spark, d, LABELS).where("doc_id is not null and sentence_id is not null and sentence is not null")
     scored = rows.groupBy(topic_key(F.col("topic")).alias("topic"), F.col("doc_id").alias("doc"), "sentence_id").agg(F.max(labelling.event_score(F.col("sentence"))).alias("s"))
     scored = scored.select("topic", "doc", "sentence_id", labelling.bucket(F.col("s")).alias("bucket"))
-    budgets = scored.groupBy("topic", "doc").agg(F.least(F.count("*"), F.lit(10)).alias("budget"))
+    budgets = cut_lineage(_budgets(scored.groupBy("topic", "doc").agg(F.count("*").alias("n"))))
     return labelling.draw_by_bucket(scored, budgets, "topic", "doc", "sentence_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.text import STOP_WORDS, WORD, round6, words
 from loomline.operators import retrieval as R
 from loomline.operators import segments
-from loomline.plans.shared import REGISTRY
+from loomline.plans.shared import REGISTRY, topic_sql
 from loomline.plans.text_queries import _SENTENCES
 from loomline.sources.tables import table, texts
 
@@ -24,29 +24,40 @@ _STATS = f"""d AS (SELECT doc_id, {_words(_TEXT)} AS w FROM documents),
     t AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM d) GROUP BY term),
     n AS (SELECT count(*) AS n FROM d), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM t, n),
     st AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM r) * 0.25 ELSE raw END AS idf FROM r)"""
-_BM25 = f"""{_STATS}, q AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_words("question")}) AS term FROM retrieval_eval) GROUP BY ALL),
+_ASKED = f"SELECT DISTINCT qid, unnest({_words('question')}) AS term FROM retrieval_eval"
+
+
+def _bm25(asked: str) -> str:
+    return f"""{_STATS}, q AS ({asked}),
     p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
     a AS (SELECT avg(len(w)) AS avgdl FROM d),
-    s AS (SELECT qid, doc_id, floor((sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) + count(*)) * 1e6 + 0.5) / 1e6 AS score
+    s AS (SELECT qid, doc_id, floor((sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) + count(*)) * 1e6 + 0.5) / 1e6 AS score
       FROM q JOIN st USING (term) JOIN tf USING (term), a GROUP BY qid, doc_id)"""
 
 
+_BM25 = _bm25(_ASKED)
+
+
 def _rank(source: str, k: int, columns: str = "qid, doc_id, score") -> str:
     return f"SELECT {columns}, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM {source}) WHERE rank <= {k}"
 
 
+def _index(spark, d):
+    return R.build_index(texts(spark, d, "documents"), "doc_id", R.index_text())
+
+
 def _scores(spark, d):
-    return R.bm25(table(spark, d, "retrieval_eval"), texts(spark, d, "documents"), "qid", F.col("question"), "doc_id", R.index_text())
+    return R.bm25(R.query_terms(table(spark, d, "retrieval_eval"), "qid", F.col("question")), _index(spark, d), "qid", "doc_id")
 
 
 @REGISTRY.query("term_stats", f"WITH {_STATS} SELECT term, df, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM st")
 def term_stats(spark, d):
-    return R.term_stats(texts(spark, d, "documents"), "doc_id", R.index_text()).withColumn("idf", round6(F.col("idf")))
+    return _index(spark, d).stats.select("term", "df", round6(F.col("idf")).alias("idf"))
 
 
 @REGISTRY.query("index_postings", f"WITH d AS (SELECT doc_id, {_words(_TEXT)} AS w FROM documents) SELECT doc_id, term, CAST(dl AS INT) AS dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL")
 def index_postings(spark, d):
-    return R.postings(texts(spark, d, "documents"), "doc_id", R.index_text())
+    return _index(spark, d).postings.select("doc_id", "term", "dl", "tf")
 
 
 @REGISTRY.query("bm25_topk", f"WITH {_BM25} {_rank('s', 10)}")
@@ -148,14 +159,55 @@ def extracted_answers(spark, d):
     return both.withColumn("place", F.row_number().over(order)).where("place <= 3").select("qid", "doc_id", "sentence_index", "text", "shared", "place")
 
 
-_ALIASES = f"""n AS (SELECT DISTINCT {_words("coalesce(title, '')")} AS w FROM metadata WHERE title IS NOT NULL),
-    al AS (SELECT DISTINCT w[1] AS term, unnest(w[2:]) AS alias FROM n WHERE len(w) > 1),
-    aq AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_words("question")}) AS term FROM retrieval_eval) GROUP BY ALL)"""
+_ALIASES = f"""SELECT DISTINCT w[1] AS term, unnest(w[2:]) AS alias FROM (SELECT DISTINCT {_words("coalesce(title, '')")} AS w FROM metadata WHERE title IS NOT NULL) WHERE len(w) > 1"""
+_EXPANDED = f"SELECT qid, term FROM ({_ASKED}) UNION SELECT qid, alias FROM ({_ASKED}) JOIN ({_ALIASES}) USING (term)"
 
 
-@REGISTRY.query("expanded_terms", f"WITH {_ALIASES} SELECT qid, term, max(times) AS times FROM (SELECT qid, term, times FROM aq UNION ALL SELECT qid, alias, 1 FROM aq JOIN al USING (term)) GROUP BY qid, term")
+@REGISTRY.query("expanded_terms", _EXPANDED)
 def expanded_terms(spark, d):
     """Question terms with the other words of titles that begin with one of them."""
     titles = table(spark, d, "metadata").select(words(F.col("title")).alias("w")).where(F.size("w") > 1)
     aliases = titles.select(F.col("w")[0].alias("term"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("alias")).distinct()
     return R.expand_terms(R.query_terms(table(spark, d, "retrieval_eval"), "qid", F.col("question")), aliases, "qid")
+
+
+@REGISTRY.query("expanded_topk", f"WITH {_bm25(_EXPANDED)} {_rank('s', 10)}")
+def expanded_topk(spark, d):
+    """BM25 of the expanded questions."""
+    return R.top_k(R.bm25(expanded_terms(spark, d), _index(spark, d), "qid", "doc_id"), "qid", "doc_id", 10)
+
+
+_SAME_TOPIC = f"x AS (SELECT s.* FROM s JOIN (SELECT qid, {topic_sql()} AS asked FROM retrieval_eval) USING (qid) JOIN (SELECT doc_id, {topic_sql()} AS own FROM documents) USING (doc_id) WHERE asked = '' OR asked = own)"
+
+
+@REGISTRY.query("topic_topk", f"WITH {_BM25}, {_SAME_TOPIC} {_rank('x', 10)}")
+def topic_topk(spark, d):
+    """BM25 among the documents of the question's topic."""
+    scores = R.same_topic(_scores(spark, d), table(spark, d, "retrieval_eval"), table(spark, d, "documents"), "qid", "doc_id")
+    return R.top_k(scores, "qid", "doc_id", 10)
+
+
+@REGISTRY.query(
+    "reranked_topk",
+    f"""WITH {_BM25}, x AS ({_rank("s", 30)}), v AS (SELECT qid, x.doc_id, list_distinct({_words("question")}) AS a, {_words(_TEXT.replace("topic", "documents.topic"))} AS w
+      FROM x JOIN retrieval_eval USING (qid) JOIN documents ON documents.doc_id = x.doc_id),
+    y AS (SELECT qid, doc_id, floor(coalesce(len(list_filter(a, lambda t: list_contains(w, t))) / nullif(len(a), 0), 0) * 1e6 + 0.5) / 1e6 AS score FROM v)
+    {_rank("y", 10)}""",
+)
+def reranked_topk(spark, d):
+    """The best thirty by BM25 in the order of the share of question terms that they hold."""
+    docs = texts(spark, d, "documents").select("doc_id", R.index_text().alias("text"))
+    asked = table(spark, d, "retrieval_eval").select("qid", "question")
+    ranked = R.top_k(_scores(spark, d), "qid", "doc_id", 30).select("qid", "doc_id").join(docs, "doc_id").join(asked, "qid")
+    return R.rerank(ranked, R.shared_terms, "question", "text", "qid", "doc_id", 10)
+
+
+@REGISTRY.query("vector_cells_topk")
+def vector_cells_topk(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return R.nearest_in_cells(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@REGISTRY.query("vector_cells_recall")
+def vector_cells_recall(spark, d):
+    return R.recall(vector_cells_topk(spark, d), vector_topk(spark, d), "query_id", "vec_id")

@@ -24,15 +24,24 @@ def build_session(master: str | None = None, app: str = "loomline", **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the cluster.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a temporary
-    folder of this machine is used.
+    Only on one machine, as in tests, a temporary folder stands in where that is unset; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomline-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

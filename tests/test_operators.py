@@ -25,11 +25,11 @@ def test_bm25_against_a_loop(spark):
         for i, w in enumerate(split):
             held = [t for t in text.split() if t in w]
             if held:
-                s = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avg)) for t in text.split() if t in w)
+                s = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avg)) for t in set(held))
                 want[q, i] = s + len(set(held))
-    got = retrieval.bm25(
-        spark.createDataFrame(list(enumerate(asked)), "q int, text string"), spark.createDataFrame(docs, "k int, title string, topic string, text string"), "q", F.col("text"), "k", retrieval.index_text()
-    ).collect()
+    terms = retrieval.query_terms(spark.createDataFrame(list(enumerate(asked)), "q int, text string"), "q", F.col("text"))
+    index = retrieval.build_index(spark.createDataFrame(docs, "k int, title string, topic string, text string"), "k", retrieval.index_text())
+    got = retrieval.bm25(terms, index, "q", "k").collect()
     assert {(r["q"], r["k"]) for r in got} == set(want)
     assert all(abs(r["score"] - want[r["q"], r["k"]]) < 2e-6 for r in got)
 
@@ -37,7 +37,10 @@ def test_bm25_against_a_loop(spark):
 def test_no_match_gives_no_rows(spark):
     docs = spark.createDataFrame([(1, "t", "x", "some text")], "k int, title string, topic string, text string")
     asked = spark.createDataFrame([(1, "unrelated"), (2, None)], "q int, text string")
-    assert retrieval.bm25(asked, docs, "q", F.col("text"), "k", retrieval.index_text()).count() == 0
+    index = retrieval.build_index(docs, "k", retrieval.index_text())
+    assert retrieval.bm25(retrieval.query_terms(asked, "q", F.col("text")), index, "q", "k").count() == 0
+    empty = retrieval.build_index(docs.limit(0), "k", retrieval.index_text())
+    assert retrieval.bm25(retrieval.query_terms(asked, "q", F.col("text")), empty, "q", "k").count() == 0
 
 
 def test_fusion_and_diversity(spark):
@@ -58,6 +61,18 @@ def test_nearest_against_numpy(spark):
     for q in (0, 50, 100, 150):
         best = [i for i in np.argsort(-s[q]) if i != q][:3]
         assert [r["vec_id"] for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == best
+    near = retrieval.nearest_in_cells(table.where("vec_id % 50 = 0"), table, 3, cells=8, probes=8)
+    assert retrieval.recall(near, got, "query_id", "vec_id").first()["recall"] == 1
+    assert retrieval.nearest_in_cells(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_rerank_and_topics(spark):
+    ranked = spark.createDataFrame([(1, "a", "what is alpha", "nothing here"), (1, "b", "what is alpha", "alpha is here"), (1, "c", None, None)], "q int, k string, question string, text string")
+    assert [r["k"] for r in retrieval.rerank(ranked, retrieval.shared_terms, "question", "text", "q", "k", 2).orderBy("rank").collect()] == ["b", "a"]
+    scores = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0)], "q int, k string, score double")
+    asked = spark.createDataFrame([(1, "RAG"), (2, None)], "q int, topic string")
+    docs = spark.createDataFrame([("a", "rag"), ("b", "ai-agent")], "k string, topic string")
+    assert {(r["q"], r["k"]) for r in retrieval.same_topic(scores, asked, docs, "q", "k").collect()} == {(1, "a"), (2, "a")}
 
 
 def test_ranking_metrics(spark):
