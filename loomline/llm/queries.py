@@ -38,6 +38,25 @@ def p4_found(spark, d):
     return splits.linked_pairs(splits.linked_docs(table(spark, d, "labeling_candidates_sample")))
 
 
+@REGISTRY.query("p4_components", S.P4_COMPONENTS)
+def p4_components(spark, d):
+    """Each tied doc with the least doc of its component: the links of p4_found without all pairs."""
+    labels = splits.linked_docs(table(spark, d, "labeling_candidates_sample"))
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(least, "component").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))
+
+
+@REGISTRY.query("p4_balanced", S.P4_BALANCED)
+def p4_balanced(spark, d):
+    """Splits of all rows whose share of rows is within a point of the target; what SQL knows without the splits."""
+    rows = table(spark, d, "labeling_candidates_sample")
+    assigned = splits.split_records(rows, table(spark, d, "split_targets"))
+    counts = rows.join(assigned, "sentence_id").groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("all"))
+    near = F.abs(F.col("n") / F.col("all") - F.col("target_permille") / 1000) <= 0.01
+    return table(spark, d, "split_targets").join(counts, "split_name").crossJoin(F.broadcast(whole)).where(near).select("split_name", "target_permille")  # one row
+
+
 @REGISTRY.query("p4_splits")
 def p4_splits(spark, d):
     return splits.split_records(table(spark, d, "labeling_candidates_sample"), table(spark, d, "split_targets"))

@@ -32,6 +32,15 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM r WHERE a < b
 """
 
+P4_COMPONENTS = f"""
+WITH RECURSIVE t AS (SELECT DISTINCT {_CLEAN_DOC} AS doc, sentence_id FROM labeling_candidates_sample WHERE sentence_id IS NOT NULL),
+e AS (SELECT DISTINCT x.doc AS a, y.doc AS b FROM t x JOIN t y USING (sentence_id) WHERE x.doc <> y.doc),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, least(a, min(b)) AS component FROM r GROUP BY a
+"""
+
+P4_BALANCED = "SELECT split_name, target_permille FROM split_targets"
+
 P5_REPORT = rf"""
 WITH g AS (SELECT lower(translate(trim(topic), '- ', '__')) AS topic, target_permille, min_rows, max_per_doc FROM sample_targets),
 o AS (
