@@ -74,10 +74,10 @@ def build_index(docs: DataFrame, key: str, text: Column) -> Index:
     spark, rows = docs.sparkSession, docs.select(key, text.alias("text"))
     mark, folder = chained("index", PARTS, fingerprint(rows)), f"{shared_folder(spark)}/index"
     listed = lambda: postings(rows, key, F.col("text")).withColumn("part", _part("term")).repartition("part").sortWithinPartitions("term")
-    held = stage(spark, f"{folder}/postings", mark, listed, "part")
+    held = stage(spark, f"{folder}/postings", mark, listed, "part", f"`{key}` {rows.schema[key].dataType.simpleString()}, dl int, term string, tf bigint, part int")
     n = rows.agg(F.count(key).alias("n"))
     counted = held.groupBy("part", "term").agg(F.count("*").alias("df"))
-    stats = stage(spark, f"{folder}/stats", mark, lambda: _idf(counted, n).repartition("part"), "part")
+    stats = stage(spark, f"{folder}/stats", mark, lambda: _idf(counted, n).repartition("part"), "part", "term string, df bigint, idf double, part int")
     totals = stage(spark, f"{folder}/totals", mark, lambda: held.agg(F.sum("tf").alias("t")).crossJoin(n).select((F.col("t") / F.col("n")).alias("avgdl")))
     return Index(held, stats, totals)
 

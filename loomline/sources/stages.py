@@ -22,14 +22,15 @@ def chained(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def stage(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], parts: str | None = None) -> DataFrame:
+def stage(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], parts: str | None = None, schema: str | None = None) -> DataFrame:
     """The table kept at ``path`` for ``key``; made and written first where there is none.
 
-    With ``parts``, rows lie in a folder for each value of that column. Each key has its own folder, written as a whole, so that a lost job leaves nothing that looks complete.
+    With ``parts``, rows lie in a folder for each value of that column; a table that may be empty then needs its ``schema``,
+    since no rows leave no file. Each key has its own folder, written as a whole, so that a lost job leaves nothing that looks complete.
     """
     folder = f"{path}/{key[:32]}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         write = make().write.mode("overwrite")
         (write.partitionBy(parts) if parts else write).parquet(folder)
-    return spark.read.parquet(folder)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(folder)
