@@ -1,8 +1,7 @@
-"""HTML and LaTeX as plain text, by batch."""
+"""HTML as plain text, by batch."""
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,7 +37,9 @@ class _Reader(HTMLParser):
         elif tag in ("td", "th") and self.rows:
             self.cell = []
         elif tag == "img":
-            self.handle_data(f"[Image: {dict(attrs).get('alt') or ''}]")
+            described = (dict(attrs).get("alt") or "").strip()
+            if described:
+                self.handle_data(f"[Image: {described}]")
         elif tag in _BREAKS:
             self.flush()
 
@@ -78,29 +79,3 @@ def _plain(page: str | None) -> str | None:
 def html_text(pages: pd.Series) -> pd.Series:
     """Text of HTML pages: lines without blanks, pipe tables, image descriptions. Null stays null."""
     return pages.map(_plain)
-
-
-# Spans of mathematics, which are kept as they are.
-_MATH = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?\\end\{\1\*?\}", re.S)
-_KEPT = re.compile(r"\\(?:textbf|textit|emph|texttt|cite|ref|label|eqref)\{([^{}]*)\}")
-_DROPPED = re.compile(r"\\[a-zA-Z]+(?:\{[^}]*\})?")
-_LIGATURES = str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"})
-
-
-def _without_latex(text: str | None) -> str | None:
-    if text is None:
-        return None
-    out, last = [], 0
-    for m in [*_MATH.finditer(text), None]:
-        prose = text[last : m.start() if m else len(text)]
-        out.append(_DROPPED.sub("", _KEPT.sub(r"\1", prose)))
-        if m:
-            out.append(m.group())
-            last = m.end()
-    return "".join(out).translate(_LIGATURES)
-
-
-@F.pandas_udf(StringType())
-def latex_text(texts: pd.Series) -> pd.Series:
-    """Texts without LaTeX commands; mathematics is kept. Null stays null."""
-    return texts.map(_without_latex)

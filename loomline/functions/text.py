@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,26 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(named, r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);", "")
 
 
+# Badge images, as a whole line and within one.
+BADGES = (r"(?m)^\[?!\[[^\]]*\]\([^)]*img\.shields\.io[^)]*\)[^\n]*$", r"\[?!\[[^\]]*\]\([^)]*img\.shields\.io[^)]*\)\]?(?:\([^)]*\))?")
+# Punctuation of UTF-8 read as Windows-1252, and what stands for it.
+KNOWN_MOJIBAKE = {"\u00e2\u20ac\u201d": "--", "\u00e2\u20ac\u201c": "-", "\u00e2\u20ac\u2122": "'", "\u00e2\u20ac\u02dc": "'", "\u00e2\u20ac\u0153": '"', "\u00e2\u20ac\u009d": '"', "\u00e2\u02c6\u2014": "*"}
+# Environments and marks of mathematics, which is kept as it is.
+MATH_ENVIRONMENTS = "equation align gather multline eqnarray math displaymath alignat flalign".split()
+MATH = rf"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{{(?:{'|'.join(MATH_ENVIRONMENTS)})\*?\}}.*?\\end\{{(?:{'|'.join(MATH_ENVIRONMENTS)})\*?\}}"
+# LaTeX commands that leave their content, and all others.
+LATEX_KEPT = (r"\\(?:textbf|textit|emph|texttt)\{([^}]*)\}", r"\\(?:cite|ref|label|eqref)\{([^}]*)\}")
+LATEX_DROPPED = r"\\[a-zA-Z]+\{[^}]*\}|\\[a-zA-Z]+"
+# Ligatures of PDF texts.
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
+# Kinds of source that are cleaned as papers.
+PAPERS = ("paper", "survey")
+
+
+def _replaced(c: Column, pairs: dict[str, str]) -> Column:
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs.items(), c)
+
+
 def drop_markup(c: Column) -> Column:
     """Entities, elements without prose, tags, comments and badges removed."""
     c = unescape(c)
@@ -42,7 +63,39 @@ def drop_markup(c: Column) -> Column:
         c = F.regexp_replace(c, rf"(?is)<\s*{name}\b[^>]*>.*?</\s*{name}\s*>", "")
     c = F.regexp_replace(c, r"</?[a-zA-Z][a-zA-Z0-9]*\b[^>]*?/?>", "")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(c, r"\[?!\[[^\]]*\]\([^)]*img\.shields\.io[^)]*\)\]?(?:\([^)]*\))?", "")
+    for badge in BADGES:
+        c = F.regexp_replace(c, badge, "")
+    return c
+
+
+def mend_known(c: Column) -> Column:
+    """Punctuation that is known to come from a wrong encoding, restored."""
+    return _replaced(c, KNOWN_MOJIBAKE)
+
+
+def drop_latex(c: Column) -> Column:
+    """LaTeX commands removed outside mathematics, ligatures parted everywhere. Null stays null."""
+
+    def plain(prose: Column) -> Column:
+        for kept in LATEX_KEPT:
+            prose = F.regexp_replace(prose, kept, "$1")
+        return F.regexp_replace(prose, LATEX_DROPPED, "")
+
+    prose = F.transform(F.split(c, MATH, -1), plain)
+    both = F.zip_with(prose, F.regexp_extract_all(c, F.lit(MATH), 0), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    return _replaced(F.array_join(both, ""), LIGATURES)
+
+
+def ascii_fold(c: Column) -> Column:
+    """Latin letters without their accents, in lower case; the table holds those that Unicode parts into letter and accent."""
+    letters = [chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    parted = {x: unicodedata.normalize("NFD", x)[0] for x in letters if unicodedata.normalize("NFD", x)[0].isascii()}
+    return F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), "".join(parted), "".join(parted.values())))
+
+
+def for_matching(c: Column) -> Column:
+    """A text's key for comparisons: letters and digits folded, one space for anything else; null gives an empty key."""
+    return F.trim(F.regexp_replace(ascii_fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def squeeze(c: Column) -> Column:
@@ -52,9 +105,12 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def clean_text(c: Column) -> Column:
-    """A text without markup and noise; null gives an empty text."""
-    return squeeze(drop_markup(F.coalesce(c, F.lit(""))))
+def clean_text(c: Column, source_type: Column | None = None) -> Column:
+    """A text without markup and noise; null gives an empty text. Papers and surveys also lose their LaTeX commands."""
+    bare = drop_markup(F.coalesce(c, F.lit("")))
+    if source_type is not None:
+        bare = F.when(F.lower(strip(source_type)).isin(*PAPERS), drop_latex(bare)).otherwise(bare)
+    return squeeze(mend_known(bare))
 
 
 def mend_hyphens(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import strip
@@ -12,24 +12,41 @@ from loomline.session import cut_lineage
 SENTENCE_END = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
 
 
-def chunks(texts: DataFrame, key: str, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+# Two or more pipe rows, one after the other.
+TABLE = r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$(?:\n[ \t]*\|[^\n]*\|[ \t]*$)++\n?"
+
+
+def table_spans(text: Column) -> Column:
+    """Places (start, end) of a text's tables, from 0, end exclusive and after the last row's line end."""
+    both = F.zip_with(F.split(text, TABLE, -1), F.regexp_extract_all(text, F.lit(TABLE), 0), lambda p, t: F.struct(F.length(p).alias("p"), F.length(t).alias("t")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+
+    def take(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["p"]
+        end = begin + x["t"]
+        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+
+    return F.aggregate(F.filter(both, lambda x: x["t"].isNotNull()), start, take, lambda state: state["spans"])
+
+
+def chunks(texts: DataFrame, key: str, text: str = "text", size: int = 1000, overlap: int = 200, whole_tables: bool = False) -> DataFrame:
     """(key, chunk_index from 1, start_char, end_char, text): windows of ``size`` characters every ``size - overlap``.
 
-    The last window may be shorter. A text of at most ``size`` characters is one chunk; null and empty texts have none.
+    The last window may be shorter. A text of at most ``size`` characters is one chunk; null and empty texts have none. With
+    ``whole_tables`` a window that would end within a table ends after it.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
     step, n = size - overlap, F.length(text)
-    last = F.when(n > size, F.ceil(n / step) - 1).otherwise(F.lit(0)).cast("int")
-    cut = texts.where(n > 0).select(key, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    kept = texts.where(n > 0).select(key, F.col(text).alias("_t"), *([table_spans(F.col(text)).alias("_s")] if whole_tables else []))
+    cut = kept.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.length("_t") > size, F.ceil(F.length("_t") / step) - 1).otherwise(F.lit(0)).cast("int"))))
     start = F.col("i") * step
-    return cut.select(
-        key,
-        (F.col("i") + 1).alias("chunk_index"),
-        start.alias("start_char"),
-        F.least(start + size, F.length("_t")).alias("end_char"),
-        F.substring(F.col("_t"), start + 1, F.lit(size)).alias("text"),
-    )
+    end = F.least(start + size, F.length("_t"))
+    if whole_tables:
+        inside = F.filter("_s", lambda s: (s["start"] < start + size) & (start + size < s["end"]))
+        end = F.greatest(end, F.coalesce(F.get(inside, F.lit(0))["end"], F.lit(0)))
+    placed = cut.select(key, (F.col("i") + 1).alias("chunk_index"), start.alias("start_char"), end.alias("end_char"), "_t")
+    return placed.select(key, "chunk_index", "start_char", "end_char", F.substring(F.col("_t"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("text"))
 
 
 def sentences(texts: DataFrame, key: list[str], text: str = "text", least: int = 15) -> DataFrame:

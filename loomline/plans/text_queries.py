@@ -5,28 +5,44 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.functions.html import html_text, latex_text
+from loomline.functions.html import html_text
 from loomline.operators import segments
-from loomline.plans.shared import REGISTRY
+from loomline.plans.shared import REGISTRY, STRIP
 from loomline.sources.tables import table, texts
 
-_UNESCAPE = "coalesce(text, '')"
-for _e, _r in T.ENTITIES.items():
-    _UNESCAPE = "replace({}, '{}', '{}')".format(_UNESCAPE, _e, _r.replace("'", "''"))
-_CLEAN = rf"regexp_replace({_UNESCAPE}, '&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);', '', 'g')"
-for _b in T.BLOCKS:
-    _CLEAN = rf"regexp_replace({_CLEAN}, '(?is)<\s*{_b}\b[^>]*>.*?</\s*{_b}\s*>', '', 'g')"
-for _p, _r in (
-    (r"</?[a-zA-Z][a-zA-Z0-9]*\b[^>]*?/?>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"\[?!\[[^\]]*\]\([^)]*img\.shields\.io[^)]*\)\]?(?:\([^)]*\))?", ""),
-    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
-    (r"[ \t]+", " "),
-    (r" +\n", "\n"),
-    (r"\n{3,}", "\n\n"),
-    (r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", ""),
-):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_r}', 'g')"
+
+
+def _each(c: str, patterns: list[tuple[str, str]]) -> str:
+    for p, r in patterns:
+        c = f"regexp_replace({c}, '{p}', '{r}', 'g')"
+    return c
+
+
+def _put(c: str, pairs: dict[str, str]) -> str:
+    for p, r in pairs.items():
+        c = "replace({}, '{}', '{}')".format(c, p, r.replace("'", "''"))
+    return c
+
+
+_BARE = _each(
+    _put("coalesce(text, '')", T.ENTITIES),
+    [(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);", "")]
+    + [(rf"(?is)<\s*{b}\b[^>]*>.*?</\s*{b}\s*>", "") for b in T.BLOCKS]
+    + [(r"</?[a-zA-Z][a-zA-Z0-9]*\b[^>]*?/?>", ""), (r"(?s)<!--.*?-->", ""), *((b, "") for b in T.BADGES)],
+)
+_SQUEEZE = [(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"[ \t]+", " "), (r" +\n", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "")]
+
+
+def _drop_latex(c: str) -> str:
+    """Marks stand for the mathematics, in order, while the commands around are dropped."""
+    prose = _each("p", [(k, r"\1") for k in T.LATEX_KEPT] + [(T.LATEX_DROPPED, "")])
+    parts = f"string_split(regexp_replace({c}, '{T.MATH}', chr(57345), 'g'), chr(57345))"
+    spans = f"list_append(regexp_extract_all({c}, '{T.MATH}'), '')"
+    return _put(f"array_to_string(list_transform(list_zip(list_transform({parts}, lambda p: {prose}), {spans}), lambda z: z[1] || coalesce(z[2], '')), '')", T.LIGATURES)
+
+
+_CLEAN = _each(_put(_BARE, T.KNOWN_MOJIBAKE), _SQUEEZE)
+_IS_PAPER = f"lower({STRIP.format('source_type')}) IN ({', '.join(f"'{p}'" for p in T.PAPERS)})"
 
 
 @REGISTRY.query("clean_documents", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
@@ -34,6 +50,19 @@ def clean_documents(spark, d):
     return texts(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
+@REGISTRY.query(
+    "clean_by_source",
+    f"WITH b AS (SELECT doc_id, source_type, {_BARE} AS bare FROM documents), c AS (SELECT doc_id, CASE WHEN {_IS_PAPER} THEN {_drop_latex('bare')} ELSE bare END AS c FROM b) SELECT doc_id, {_each(_put('c', T.KNOWN_MOJIBAKE), _SQUEEZE)} AS clean FROM c",
+)
+def clean_by_source(spark, d):
+    return texts(spark, d, "documents").select("doc_id", T.clean_text(F.col("text"), F.col("source_type")).alias("clean"))
+
+
+@REGISTRY.query("title_keys", r"SELECT doc_id, title, trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents")
+def title_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", "title", T.for_matching(F.col("title")).alias("key"))
+
+
 _WORD_CLASS = "[a-zA-Z0-9_]"
 _MEND = rf"regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b({'|'.join(T.KEPT_HYPHENS)})-\s+({_WORD_CLASS}{{2,}})', '\1-\2', 'g'), '({_WORD_CLASS}{{2,}})-\s+({_WORD_CLASS}{{2,}})', '\1\2', 'g')"
 
@@ -83,6 +112,22 @@ def document_chunks(spark, d):
     return segments.chunks(texts(spark, d, "documents"), "doc_id")
 
 
+@REGISTRY.query(
+    "table_safe_chunks",
+    r"""WITH t AS (SELECT doc_id, text, length(text) AS n, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 0),
+    e AS (SELECT doc_id, n, unnest(a) AS line, unnest(generate_series(1, len(a))) AS pos FROM t),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM e),
+    r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM o WHERE regexp_matches(line, '^[ \t]*\|.*\|[ \t]*$')),
+    b AS (SELECT doc_id, min(first) AS s0, least(max(first + length(line) + 1), any_value(n)) AS s1 FROM r GROUP BY doc_id, island HAVING count(*) >= 2),
+    s AS (SELECT doc_id, text, n, unnest(generate_series(0, CASE WHEN n > 1000 THEN CAST(ceil(n / 800.0) AS BIGINT) - 1 ELSE 0 END)) AS i FROM t),
+    w AS (SELECT s.doc_id, i, any_value(text) AS text, any_value(n) AS n, max(s1) AS s1 FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND s0 < i * 800 + 1000 AND i * 800 + 1000 < s1 GROUP BY s.doc_id, i),
+    f AS (SELECT doc_id, i, text, greatest(least(i * 800 + 1000, n), coalesce(s1, 0)) AS e FROM w)
+    SELECT doc_id, CAST(i + 1 AS INT) AS chunk_index, CAST(i * 800 AS INT) AS start_char, CAST(e AS INT) AS end_char, substring(text, i * 800 + 1, CAST(e AS BIGINT) - i * 800) AS text FROM f""",
+)
+def table_safe_chunks(spark, d):
+    return segments.chunks(texts(spark, d, "documents"), "doc_id", whole_tables=True)
+
+
 # RE2 has no look-behind: full stops within abbreviations are marked first, and the marks taken out at the end
 _SPLIT = r"""list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text,
   '([A-Z][a-z]\.)([\s\x0b\x{85}\p{Z}])', '\1' || chr(57346) || '\2', 'g'), '([\pL\pN_\pM\p{Pc}]\.[\pL\pN_\pM\p{Pc}].)([\s\x0b\x{85}\p{Z}])', '\1' || chr(57346) || '\2', 'g'),
@@ -147,10 +192,13 @@ def sentence_dates(spark, d):
     return rows.select("sentence_id", T.date_struct(F.col("sentence"), F.col("y")).alias("d")).select("sentence_id", "d.*")
 
 
-@REGISTRY.query("papers_without_latex")
+@REGISTRY.query(
+    "papers_without_latex",
+    f"WITH b AS (SELECT doc_id, {_BARE} AS bare FROM documents WHERE {_IS_PAPER}), c AS (SELECT doc_id, {_drop_latex('bare')} AS c FROM b) SELECT doc_id, {_each('c', _SQUEEZE)} AS clean FROM c",
+)
 def papers_without_latex(spark, d):
-    papers = texts(spark, d, "documents").where(F.lower(F.trim("source_type")).isin("paper", "survey"))
-    return papers.select("doc_id", T.squeeze(latex_text(T.drop_markup(F.coalesce("text", F.lit(""))))).alias("clean"))
+    papers = texts(spark, d, "documents").where(F.lower(T.strip(F.col("source_type"))).isin(*T.PAPERS))
+    return papers.select("doc_id", T.squeeze(T.drop_latex(T.drop_markup(F.coalesce("text", F.lit(""))))).alias("clean"))
 
 
 @REGISTRY.query("page_texts")

@@ -46,11 +46,12 @@ def test_files(spark, tmp_path):
 def test_html_and_latex(spark):
     from pyspark.sql import functions as F
 
-    from loomline.functions.html import html_text, latex_text
+    from loomline.functions.html import html_text
+    from loomline.functions.text import drop_latex
 
-    page = "<nav>menu</nav><p>One &amp; two</p><img alt='cat'><table><tr><th>a</th></tr><tr><td>1|2</td><td>3</td></tr></table><script>x</script>"
+    page = "<nav>menu</nav><p>One &amp; two</p><img alt='cat'><img src='x.png'><table><tr><th>a</th></tr><tr><td>1|2</td><td>3</td></tr></table><script>x</script>"
     math = r"\textbf{Bold} costs \$5 and $$x_{\alpha}$$ \begin{align}a&b\end{align} \cite{k} \foo{bar} ﬁne"
-    row = spark.createDataFrame([(page, math), (None, None)], "p string, m string").select(html_text(F.col("p")).alias("h"), latex_text(F.col("m")).alias("l")).collect()
+    row = spark.createDataFrame([(page, math), (None, None)], "p string, m string").select(html_text(F.col("p")).alias("h"), drop_latex(F.col("m")).alias("l")).collect()
     assert row[0]["h"] == "One & two\n[Image: cat]\n| a |  |\n| --- | --- |\n| 1\\|2 | 3 |"
     assert row[0]["l"] == r"Bold costs \$5 and $$x_{\alpha}$$ \begin{align}a&b\end{align} k  fine"
     assert row[1]["h"] is None and row[1]["l"] is None

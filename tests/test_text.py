@@ -19,7 +19,8 @@ def one(spark, make, value):
         ("a &amp; b &lt;b&gt;bold&lt;/b&gt; &#160;&unknown;", "a & b bold"),
         ("x<script>var a;</script>y <nav>menu</nav>z", "xy z"),
         ("keep <!-- drop\nthis --> 2024-01-02 v1.2", "keep 2024-01-02 v1.2"),
-        ("[![b](https://img.shields.io/x.svg)](http://u) text", "text"),
+        ("[![b](https://img.shields.io/x.svg)](http://u) text", ""),  # a line that begins with a badge goes as a whole
+        ("see [![b](https://img.shields.io/x.svg)](http://u) text", "see text"),
         ("a  \t b   \n\n\n\n c\x07d ", "a b\n\n cd"),
     ],
 )
@@ -27,6 +28,30 @@ def test_clean_text(spark, raw, clean):
     assert one(spark, T.clean_text, raw) == clean
 
 
+def test_cleaning_by_source(spark):
+    made = lambda kind, raw: spark.createDataFrame([(raw, kind)], "c string, k string").select(T.clean_text(F.col("c"), F.col("k")).alias("r")).first()["r"]
+    raw = r"\textbf{Bold} \begin{flalign*}\sum x\end{flalign*} \noindent \(\frac12\)"
+    assert made(" Paper", raw) == r"Bold \begin{flalign*}\sum x\end{flalign*} \(\frac12\)"
+    assert made("blog", raw) == made(None, raw) == raw
+    assert made("docs", "[![x](https://img.shields.io/a.svg)](u) and the rest of the line\nkept\u00e2\u20ac\u2122s") == "kept's"
+    assert made("survey", None) == ""
+
+
+def test_folding(spark):
+    assert one(spark, T.for_matching, "Café—\u0110ặng  e\u0301!") == "cafe \u0111ang e" and one(spark, T.for_matching, None) == ""
+
+
+def test_tables_stay_whole_in_chunks(spark):
+    table = "".join(f"| row {i} | {'x' * 20} |\n" for i in range(30))
+    text = "a" * 700 + "\n" + table + "b" * 900 + "\n| one row |\n" + "c" * 500
+    rows = spark.createDataFrame([(1, text), (2, "x" * 1500), (3, None)], "k int, text string")
+    assert spark.createDataFrame([(text,)], "t string").select(segments.table_spans(F.col("t")).alias("s")).first()["s"] == [(701, 701 + len(table))]
+    got = segments.chunks(rows, "k", whole_tables=True).orderBy("k", "chunk_index").collect()
+    assert [(r["start_char"], r["end_char"]) for r in got if r["k"] == 2] == [(0, 1000), (800, 1500)]
+    mine = [r for r in got if r["k"] == 1]
+    assert mine[0]["end_char"] == 701 + len(table) and all(r["text"] == text[r["start_char"] : r["end_char"]] for r in mine)
+
+
 def test_mend_hyphens(spark):
     assert one(spark, T.mend_hyphens, "compet- itive and fine- tuned") == "competitive and fine-tuned"
 
