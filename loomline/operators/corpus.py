@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import strip, topic_key
+from loomline.operators.segments import global_numbers
 
 
 def year_of(*columns: str) -> Column:
@@ -83,3 +84,25 @@ def choose_split(rows: DataFrame, doc: str, group: str, label: str, seeds: range
 def newest(docs: DataFrame, group, order: list, k: int) -> DataFrame:
     """The ``k`` first rows of each group in the given order, with their place."""
     return docs.withColumn("group_key", group).withColumn("place", F.row_number().over(Window.partitionBy("group_key").orderBy(*order))).where(F.col("place") <= k)
+
+
+def with_titles(rows: DataFrame, registered: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``rows`` with the registered title and address of their document; both null where it is not registered."""
+    known = registered.select(F.col("doc_id").alias(doc), F.col("title").alias("registered_title"), F.col("source_url").alias("registered_url"))
+    return rows.join(known, doc, "left")
+
+
+def loaded(registered: DataFrame, docs: DataFrame, ref: str = "ref_doc_id") -> DataFrame:
+    """(doc_id, texts, status): how many texts were loaded for each registered document; ``missing`` where none."""
+    counts = docs.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("doc_id")).agg(F.count("*").alias("texts"))
+    both = registered.select("doc_id").join(counts, "doc_id", "left").withColumn("texts", F.coalesce("texts", F.lit(0).cast("bigint")))
+    return both.withColumn("status", F.when(F.col("texts") > 0, "loaded").otherwise("missing"))
+
+
+def renumbered(registered: DataFrame) -> DataFrame:
+    """(doc_id, new_id): documents of each topic numbered anew in the order of their ids, ``<topic>_<number>``."""
+    rows = registered.select("doc_id", "topic", F.struct("topic", "doc_id").alias("_both"))
+    numbered = global_numbers(rows, "_both", ["doc_id"])
+    begins = numbered.groupBy("topic").agg(F.min("number").alias("_begin"))
+    place = (F.col("number") - F.col("_begin") + 1).cast("bigint")
+    return numbered.join(begins, "topic").select("doc_id", F.format_string("%s_%04d", "topic", place).alias("new_id"))

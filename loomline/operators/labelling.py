@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import round6, strip
+from loomline.functions.text import noise_markers, round6, strip, word_count
 from loomline.operators.segments import global_numbers
 
 # Verbs of events.
@@ -23,7 +23,9 @@ ENTITIES = (
 DATES = (r"\b(?:19|20)\d{2}\b", r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? (?:19|20)\d{2}\b")
 # Label sets.
 EVENT_TYPES = ("method_proposed", "release", "benchmark", "trend_application", "none")
-LENGTHS, DOC_SHARE = (20, 500), 0.08
+LENGTHS, DOC_SHARE, TOPIC_SHARE = (20, 500), 0.08, (0.3, 0.366)
+LABEL_METHODS = ("human",)
+LONG_SOURCES = ("paper", "survey", "blog", "docs", "github")
 
 
 def event_score(c: Column) -> Column:
@@ -71,23 +73,74 @@ def doc_budgets(sizes: DataFrame, group: str, doc: str, target: int, least: int
     return joined.join(one, [group, doc], "left").join(less, [group, doc], "left").select(group, doc, budget.cast("bigint").alias("budget"))
 
 
-def violations(rows: DataFrame) -> DataFrame:
-    """(rule, rows): how many rows break each rule for labels, for the rules that are broken."""
+def _broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, rows) of the rules that some row breaks, in one pass."""
+    counts = rows.agg(*(F.count_if(r).alias(n) for n, r in rules.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules))).alias("r")).select("r.rule", "r.rows").where("rows > 0")
+
+
+def violations(rows: DataFrame, sentences: DataFrame | None = None, labelled: bool = True, shares: bool = False) -> DataFrame:
+    """(rule, rows): how many rows break each rule for labels, for the rules that are broken.
+
+    Before labelling (``labelled`` false) labels may be blank, and only those given are checked. With ``sentences``, ids must
+    be among its sentence_id. Rules for label_method, annotator and topic count where there is such a column. With ``shares``
+    a document has at most DOC_SHARE of all rows, and a topic a share within TOPIC_SHARE.
+    """
     kind, event = F.lower(F.trim(F.coalesce("event_type", F.lit("")))), F.trim(F.coalesce("is_event", F.lit("")))
-    text = F.coalesce("sentence", F.lit(""))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    text, given = F.coalesce("sentence", F.lit("")), F.lit(True) if labelled else event != ""
     rules = {
+        "missing_id": blank("sentence_id"),
         "empty_sentence": F.trim(text) == "",
         "length": (F.length(text) < LENGTHS[0]) | (F.length(text) > LENGTHS[1]),
-        "is_event_value": ~event.isin("0", "1"),
-        "event_type_value": ~kind.isin(*EVENT_TYPES),
-        "event_without_type": (event == "1") & kind.isin("none", ""),
+        "is_event_value": given & ~event.isin("0", "1"),
+        "event_type_value": ~kind.isin(*EVENT_TYPES) & (F.lit(labelled) | (kind != "")),
+        "event_without_type": (event == "1") & (kind.isin("none", "") if labelled else kind == "none"),
         "type_without_event": (event == "0") & kind.isin(*EVENT_TYPES[:-1]),
-        "no_document": F.trim(F.coalesce("doc_id", F.lit(""))) == "",
+        "no_document": blank("doc_id"),
     }
-    counts = rows.agg(*(F.count_if(r).alias(n) for n, r in rules.items()))
-    listed = counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules))).alias("r")).select("r.rule", "r.rows")
-    again = rows.where("sentence_id is not null").groupBy("sentence_id").agg((F.count("*") - 1).alias("n")).agg(F.lit("repeated_id").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"))
-    return listed.unionByName(again).where("rows > 0")
+    if "label_method" in rows.columns:
+        method = F.trim(F.coalesce("label_method", F.lit("")))
+        rules["label_method_value"] = ~method.isin(*LABEL_METHODS) & (F.lit(labelled) | (method != ""))
+    if labelled and "annotator" in rows.columns:
+        rules["no_annotator"] = blank("annotator")
+    found = _broken(rows, rules)
+    again = rows.where("sentence_id is not null").groupBy("sentence_id").agg((F.count("*") - 1).alias("n"))
+    whole = rows.agg(F.count("*").alias("total"))
+    share = lambda c: rows.where(~blank(c)).groupBy(F.trim(c).alias("v")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole)).withColumn("share", F.col("n") / F.col("total"))  # noqa: E731  whole is one row
+    sums = [("repeated_id", again, F.col("n") > 0)]
+    if shares:
+        sums.append(("document_share", share("doc_id"), F.col("share") > DOC_SHARE))
+        sums.append(("topic_share", share("topic"), ~F.col("share").between(*TOPIC_SHARE)))
+    if sentences is not None:
+        unknown = rows.where(~blank("sentence_id")).join(sentences.select("sentence_id").distinct(), "sentence_id", "left_anti").select(F.lit(1).alias("n"))
+        sums.append(("unknown_id", unknown, F.lit(True)))
+    for name, counted, broken in sums:
+        found = found.unionByName(counted.where(broken).agg(F.lit(name).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows")))
+    return found.where("rows > 0")
+
+
+def document_violations(docs: DataFrame) -> DataFrame:
+    """(rule, rows) of the rules for documents that are broken: text, words, noise, fields."""
+    words = word_count(F.col("text"))
+    known = F.coalesce(F.lower(strip(F.col("source_type"))).isin(*LONG_SOURCES), F.lit(False))
+    empty = F.coalesce(F.length(strip(F.col("text"))), F.lit(0)) == 0
+    return _broken(docs, {
+        "no_text": F.col("text").isNull(),
+        "empty_text": F.col("text").isNotNull() & empty,
+        "too_few_words": ~empty & (words < 100),
+        "few_words": known & words.between(100, 499),
+        "noise": F.col("text").isNotNull() & (F.size(noise_markers(F.col("text"))) > 0),
+        "no_title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "no_year": F.col("year").isNull(),
+    })
+
+
+def sentence_violations(labels: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(rule, rows) of labelled sentences that point to no registered document or no chunk."""
+    given = lambda c: labels.where(F.col(c).isNotNull()).select(c)
+    one = lambda name, rows: rows.agg(F.lit(name).alias("rule"), F.count("*").alias("rows"))
+    return one("unknown_document", integrity(given("doc_id"), docs, "doc_id")).union(one("unknown_chunk", integrity(given("chunk_id"), chunks, "chunk_id"))).where("rows > 0")
 
 
 def doc_shares(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -108,6 +161,17 @@ def agreement(rows: DataFrame, key: str, label: str, judge: str, first: str, sec
     return one(first, "truth").join(one(second, "guess"), key).groupBy("truth", "guess").agg(F.count("*").alias("rows"))
 
 
+def second_labels(rows: DataFrame, key: str, label: str, judge: str) -> DataFrame:
+    """(truth, guess, rows): labels of other judges against those of the first judge of the same key, by name.
+
+    A judge's several labels for a key count once, the least.
+    """
+    own = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(judge).isNotNull()).groupBy(key, judge).agg(F.min(label).alias("label"))
+    first = own.groupBy(key).agg(F.min(F.struct(judge, "label")).alias("f")).select(key, F.col(f"f.{judge}").alias("_j"), F.col("f.label").alias("truth"))
+    others = own.join(first, key).where(F.col(judge) != F.col("_j"))
+    return others.groupBy("truth", F.col("label").alias("guess")).agg(F.count("*").alias("rows"))
+
+
 def class_metrics(confusion: DataFrame) -> DataFrame:
     """(label, support, precision, recall, f1) from (truth, guess, rows); 0 where a share is not defined."""
     truth = confusion.groupBy(F.col("truth").alias("label")).agg(F.sum("rows").alias("support"))
@@ -151,9 +215,7 @@ def chunk_violations(chunks: DataFrame, longest: int = 1000) -> DataFrame:
         "number": F.coalesce(F.col("chunk_index"), F.lit(0)) < 1,
         "no_document": F.col("doc_id").isNull(),
     }
-    counts = chunks.agg(*(F.count_if(r).alias(k) for k, r in rules.items()))
-    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("rows")) for k in rules))).alias("r")
-    return counts.select(listed).select("r.rule", "r.rows").where("rows > 0")
+    return _broken(chunks, rules)
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:

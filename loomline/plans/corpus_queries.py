@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.functions.text import topic_key
+from loomline.functions.text import DAMAGE, MARKUP, topic_key
 from loomline.operators import classify, corpus, labelling, timeline
 from loomline.plans.shared import REGISTRY, STRIP, topic_sql
 from loomline.session import cut_lineage
-from loomline.sources.tables import table
+from loomline.sources.tables import table, texts
 from loomline.streaming import windows
 
 LABELS = "labeling_candidates_sample"
@@ -125,14 +125,76 @@ _RULES = {
 }
 
 
+_LABEL_RULES = _RULES | {
+    "missing_id": "trim(coalesce(sentence_id, '')) = ''",
+    "label_method_value": "trim(coalesce(label_method, '')) <> 'human'",
+    "no_annotator": "trim(coalesce(annotator, '')) = ''",
+}
+
+
+def _share(c: str, name: str, broken: str) -> str:
+    return f"SELECT '{name}', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT trim({c}) AS v, count(*) AS n, count(*) / (SELECT count(*) FROM {LABELS}) AS share FROM {LABELS} WHERE trim(coalesce({c}, '')) <> '' GROUP BY 1) WHERE {broken}"
+
+
+_LABEL_SUMS = [
+    f"SELECT 'repeated_id', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) - 1 AS n FROM {LABELS} WHERE sentence_id IS NOT NULL GROUP BY sentence_id)",
+    _share("doc_id", "document_share", "share > 0.08"),
+    _share("topic", "topic_share", "share NOT BETWEEN 0.3 AND 0.366"),
+]
+
+
+@REGISTRY.query("label_violations", "SELECT rule, rows FROM (" + " UNION ALL ".join([f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS rows FROM {LABELS}" for n, r in _LABEL_RULES.items()] + _LABEL_SUMS) + ") WHERE rows > 0")
+def label_violations(spark, d):
+    return labelling.violations(table(spark, d, LABELS), shares=True)
+
+
+_DOCUMENT_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x{85}\p{Z}]+'), lambda w: w <> ''))"
+_EMPTY = f"coalesce(length({_STRIP.format('text')}), 0) = 0"
+_NOISE = " OR ".join([f"contains(lower(text), '{m}')" for m in MARKUP] + [f"contains(text, '{m}')" for m in DAMAGE])
+_DOCUMENT_RULES = {
+    "no_text": "text IS NULL",
+    "empty_text": f"text IS NOT NULL AND {_EMPTY}",
+    "too_few_words": f"NOT {_EMPTY} AND {_DOCUMENT_WORDS} < 100",
+    "few_words": f"coalesce(lower({_STRIP.format('source_type')}) IN ({', '.join(f"'{x}'" for x in labelling.LONG_SOURCES)}), false) AND {_DOCUMENT_WORDS} BETWEEN 100 AND 499",
+    "noise": f"text IS NOT NULL AND ({_NOISE})",
+    "no_title": "coalesce(trim(title), '') = ''",
+    "no_year": "year IS NULL",
+}
+
+
+@REGISTRY.query("document_violations", "SELECT rule, rows FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS rows FROM documents" for n, r in _DOCUMENT_RULES.items()) + ") WHERE rows > 0")
+def document_violations(spark, d):
+    return labelling.document_violations(texts(spark, d, "documents"))
+
+
 @REGISTRY.query(
-    "label_violations",
-    "SELECT rule, rows FROM ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS rows FROM {LABELS}" for n, r in _RULES.items())
-    + f" UNION ALL SELECT 'repeated_id', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) - 1 AS n FROM {LABELS} WHERE sentence_id IS NOT NULL GROUP BY sentence_id)) WHERE rows > 0",
+    "sentence_violations",
+    f"""SELECT rule, rows FROM (SELECT 'unknown_document' AS rule, count(*) AS rows FROM {LABELS} l WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM metadata m WHERE m.doc_id = l.doc_id)
+    UNION ALL SELECT 'unknown_chunk', count(*) FROM {LABELS} l WHERE chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = l.chunk_id)) WHERE rows > 0""",
 )
-def label_violations(spark, d):
-    return labelling.violations(table(spark, d, LABELS))
+def sentence_violations(spark, d):
+    return labelling.sentence_violations(table(spark, d, LABELS), table(spark, d, "metadata"), table(spark, d, "chunks"))
+
+
+@REGISTRY.query("label_titles", f"WITH r AS ({_REGISTER}) SELECT DISTINCT sentence_id, l.doc_id, r.title AS registered_title, r.source_url AS registered_url FROM {LABELS} l LEFT JOIN r ON r.doc_id = l.doc_id WHERE sentence_id IS NOT NULL")
+def label_titles(spark, d):
+    """Labelled sentences with the registered title of their document."""
+    rows = table(spark, d, LABELS).where("sentence_id is not null").select("sentence_id", "doc_id").distinct()
+    return corpus.with_titles(rows, corpus.register(table(spark, d, "metadata"))).select("sentence_id", "doc_id", "registered_title", "registered_url")
+
+
+@REGISTRY.query(
+    "loaded_documents",
+    """SELECT doc_id, coalesce(n, 0) AS texts, CASE WHEN n > 0 THEN 'loaded' ELSE 'missing' END AS status FROM (SELECT DISTINCT doc_id FROM metadata WHERE doc_id IS NOT NULL)
+    LEFT JOIN (SELECT ref_doc_id AS doc_id, count(*) AS n FROM documents WHERE ref_doc_id IS NOT NULL GROUP BY 1) USING (doc_id)""",
+)
+def loaded_documents(spark, d):
+    return corpus.loaded(corpus.register(table(spark, d, "metadata")), table(spark, d, "documents"))
+
+
+@REGISTRY.query("renumbered_documents", f"WITH r AS ({_REGISTER}) SELECT doc_id, format('{{}}_{{:04d}}', topic, row_number() OVER (PARTITION BY topic ORDER BY doc_id)) AS new_id FROM r")
+def renumbered_documents(spark, d):
+    return corpus.renumbered(corpus.register(table(spark, d, "metadata")))
 
 
 @REGISTRY.query("large_documents", "SELECT doc_id, rows, floor(rows / total * 1e6 + 0.5) / 1e6 AS share FROM (SELECT doc_id, count(*) AS rows, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM chunks GROUP BY doc_id) WHERE rows > total * 0.08")
@@ -173,11 +235,74 @@ def label_agreement(spark, d):
     return labelling.class_metrics(_agreement(spark, d))
 
 
+_SECOND = f"""WITH o AS (SELECT sentence_id, annotator, min(is_event) AS label FROM {LABELS} WHERE sentence_id IS NOT NULL AND annotator IS NOT NULL AND is_event IS NOT NULL GROUP BY 1, 2),
+    f AS (SELECT sentence_id, min(annotator) AS j, min_by(label, annotator) AS truth FROM o GROUP BY 1)
+    SELECT truth, label AS guess, count(*) AS rows FROM o JOIN f USING (sentence_id) WHERE annotator <> j GROUP BY ALL"""
+
+
+@REGISTRY.query("second_labels", _SECOND)
+def second_labels(spark, d):
+    """Labels of the second and later annotators of a sentence against those of the first."""
+    return labelling.second_labels(table(spark, d, LABELS), "sentence_id", "is_event", "annotator")
+
+
+def _scores_sql(confusion: str) -> str:
+    six = lambda x, n: f"floor(({x}) * 1e6 + 0.5) / 1e6 AS {n}"
+    over = lambda x: f"sum({x} * s) / sum(s)"
+    return f"""WITH c AS ({confusion}), l AS (SELECT DISTINCT unnest([truth, guess]) AS label FROM c),
+    k AS (SELECT label, coalesce((SELECT sum(rows) FROM c WHERE truth = label), 0)::DOUBLE AS s, coalesce((SELECT sum(rows) FROM c WHERE guess = label), 0)::DOUBLE AS g,
+      coalesce((SELECT sum(rows) FROM c WHERE truth = label AND guess = label), 0)::DOUBLE AS h FROM l),
+    e AS (SELECT s, h, coalesce(h / nullif(g, 0), 0) AS p, coalesce(h / nullif(s, 0), 0) AS r, coalesce(2 * h / nullif(s + g, 0), 0) AS f FROM k)
+    SELECT CAST(sum(s) AS BIGINT) AS rows, {six("sum(h) / sum(s)", "accuracy")}, {six("avg(p)", "macro_precision")}, {six("avg(r)", "macro_recall")}, {six("avg(f)", "macro_f1")},
+    {six(over("p"), "weighted_precision")}, {six(over("r"), "weighted_recall")}, {six(over("f"), "weighted_f1")} FROM e HAVING sum(s) > 0"""
+
+
+@REGISTRY.query("second_label_scores", _scores_sql(_SECOND))
+def second_label_scores(spark, d):
+    return classify.scores(second_labels(spark, d).withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
+
+
 @REGISTRY.query("timeline_events")
 def timeline_events(spark, d):
     return timeline.timeline(timeline.event_rows(table(spark, d, LABELS)))
 
 
+@REGISTRY.query("timeline_candidates")
+def timeline_candidates(spark, d):
+    """Predicted sentences that can stand in a timeline, with their scores."""
+    return timeline.candidates(classify.predicted_rows(table(spark, d, LABELS)))
+
+
+@REGISTRY.query("predicted_timeline")
+def predicted_timeline(spark, d):
+    return timeline.ranked_timeline(timeline_candidates(spark, d))
+
+
+@REGISTRY.query("prediction_summary")
+def prediction_summary(spark, d):
+    rows = classify.predicted_rows(table(spark, d, LABELS))
+    return classify.summary(rows.withColumn("topic", topic_key(F.col("topic"))))
+
+
+@REGISTRY.query("topic_predictions")
+def topic_predictions(spark, d):
+    """The thirty surest predicted events of each topic."""
+    rows = classify.predicted_rows(table(spark, d, LABELS)).where("is_event = 1").select("sentence_id", "topic", "event_probability", "event_type", "event_type_confidence", "sentence")
+    return corpus.newest(rows, topic_key(F.col("topic")), [F.desc("event_probability"), F.desc("event_type_confidence"), "sentence_id"], 30)
+
+
+@REGISTRY.query("classifier_scores")
+def classifier_scores(spark, d):
+    """Accuracy, macro and weighted scores of the event model and the type model by split."""
+    rows = classify.labelled_sentences(table(spark, d, LABELS))
+    found = cut_lineage(classify.predict(rows, classify.kept_models(rows)))
+    truth = rows.select("sentence_id", F.col("label").cast("int").cast("string").alias("event"), F.col("event_type").alias("kind"))
+    both = found.join(truth, "sentence_id")
+    event = both.select(F.lit("event").alias("model"), "split", F.col("event").alias("truth"), F.col("is_event").cast("string").alias("guess"))
+    kind = both.where(F.col("kind").isin(*classify.TYPES) & (F.col("event") == "1") & (F.col("is_event") == 1)).select(F.lit("event_type").alias("model"), "split", F.col("kind").alias("truth"), F.col("event_type").alias("guess"))
+    return classify.scores(event.union(kind).groupBy("model", "split", "truth", "guess").agg(F.count("*").alias("rows")), ["model", "split"])
+
+
 @REGISTRY.query("event_predictions")
 def event_predictions(spark, d):
     return classify.predict_events(table(spark, d, LABELS))

@@ -22,6 +22,12 @@ def chained(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file in whatever file system it names."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
+
+
 def stage(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], parts: str | None = None, schema: str | None = None) -> DataFrame:
     """The table kept at ``path`` for ``key``; made and written first where there is none.
 
@@ -29,8 +35,7 @@ def stage(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame
     since no rows leave no file. Each key has its own folder, written as a whole, so that a lost job leaves nothing that looks complete.
     """
     folder = f"{path}/{key[:32]}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, f"{folder}/_SUCCESS"):
         write = make().write.mode("overwrite")
         (write.partitionBy(parts) if parts else write).parquet(folder)
     return (spark.read.schema(schema) if schema else spark.read).parquet(folder)

@@ -37,3 +37,24 @@ def read_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("t
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.select("path", suffix.alias("suffix"), "length", F.col("modificationTime").alias("modified"), "content").where(F.col("suffix").isin(*suffixes))
+
+
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of sentences (sentence_id, doc_id, chunk_id, topic, year, source_url, text); ``sentence`` may stand for text.
+
+    A row without sentence_id or without a text is an error, as is a malformed line.
+    """
+    rows = read_lines(spark, path, "sentence_id string, doc_id string, chunk_id string, topic string, year int, source_url string, text string, sentence string")
+    need = lambda c, name: F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"missing {name}")).cast("string"))
+    text = need(F.coalesce("text", "sentence"), "text/sentence").alias("text")
+    return rows.select(need(F.col("sentence_id"), "sentence_id").alias("sentence_id"), "doc_id", "chunk_id", "topic", "year", "source_url", text)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines, null fields kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header that ``read_csv`` reads back, texts over several lines too."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)

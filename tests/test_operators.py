@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import corpus, labelling, retrieval, timeline
+from loomline.operators import classify, corpus, labelling, retrieval, timeline
 from loomline.streaming import windows
 
 
@@ -193,3 +194,61 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     want = {(r["window_start"], r["event_type"]): r["events"] for r in windows.hourly(table).collect()}
     # windows that the watermark has not passed are still open
     assert set(got) <= set(want) and len(want) - len(got) <= 4 and all(want[k] == v for k, v in got.items())
+
+
+def test_timeline_candidates(spark):
+    good = "We propose Velmar, a retrieval framework that was released in March 2023 with code."
+    rows = [
+        ("s1", "d1", "RAG", 2023, good, 1, 0.9, "method_proposed", 0.8),
+        ("s2", "d2", "rag", 2023, good.replace("March", "**March**") + " [1, 2]", 1, 0.6, "method_proposed", 0.7),
+        ("s3", "d3", "rag", 2023, good, 0, 0.36, "none", None),  # rescued, its type is inferred
+        ("s4", "d4", "rag", 2023, good, 1, 0.5, "release", 0.9),  # rescued as well
+        ("s5", "d5", "rag", 2023, good, 0, 0.2, "none", 0.0),
+        ("s6", "d6", "rag", 2020, "The Velmar method of 2019 was then introduced as a model.", 1, 0.9, "method_proposed", 0.9),  # another year than its document's
+        ("s7", "d7", "rag", 2023, "Figure 3 shows the method that was introduced in March 2023.", 1, 0.9, "method_proposed", 0.9),
+        ("s8", None, None, None, None, None, None, None, None),
+    ]
+    table = spark.createDataFrame(rows, "sentence_id string, doc_id string, topic string, year int, sentence string, is_event int, event_probability double, event_type string, event_type_confidence double")
+    got = {r["sentence_id"]: r for r in timeline.candidates(table).collect()}
+    assert set(got) == {"s1", "s2", "s3", "s4"}
+    assert got["s3"]["event_type"] == "release" and got["s1"]["sentence"] == got["s2"]["sentence"]
+    # proposed in two spellings and released, the way a method is introduced; 0.55, 0.25 and 0.20 of the probabilities and the date
+    assert got["s1"]["representative"] == pytest.approx(0.55 * 0.9 + 0.25 * 0.8 + 0.2 * 0.9 + 0.08, abs=1e-6)
+    assert got["s1"]["quality"] == pytest.approx(0.2 * 2 + 0.25, abs=1e-6)
+    out = timeline.ranked_timeline(timeline.candidates(table)).collect()
+    assert [(r["event_id"], r["size"], r["sentence_ids"]) for r in out] == [("rag_evt_001", 2, ["s1", "s2"]), ("rag_evt_002", 2, ["s3", "s4"])]
+    assert out[0]["title"] == "Method: " + good and out[0]["date"] == "2023-03"
+
+
+def test_scores_and_second_labels(spark):
+    confusion = spark.createDataFrame([("a", "a", 3), ("a", "b", 1), ("b", "b", 4), ("b", "a", 2)], "truth string, guess string, rows long").withColumn("m", F.lit("x"))
+    one = classify.scores(confusion, ["m"]).first()
+    assert (one["rows"], one["accuracy"]) == (10, 0.7)
+    assert one["macro_f1"] == pytest.approx((2 * 3 / 9 + 2 * 4 / 11) / 2, abs=1e-6) and one["weighted_recall"] == 0.7
+    labels = spark.createDataFrame([("k", "1", "ann"), ("k", "0", "bob"), ("k", "0", "bob"), ("j", "1", "ann"), (None, "1", "ann")], "k string, label string, judge string")
+    assert [tuple(r) for r in labelling.second_labels(labels, "k", "label", "judge").collect()] == [("1", "0", 1)]
+
+
+def test_budgets_beyond_the_target_are_cut(spark):
+    sizes = spark.createDataFrame([("t", f"d{i}", 12) for i in range(5)] + [("u", "e", 100)], "g string, d string, n long")
+    got = {r["d"]: r["budget"] for r in labelling.doc_budgets(sizes, "g", "d", 48, least=10, cap=20, small=6).collect()}
+    assert got == {"d0": 9, "d1": 9, "d2": 10, "d3": 10, "d4": 10, "e": 20}
+    got = {r["d"]: r["budget"] for r in labelling.doc_budgets(sizes, "g", "d", 20, least=10, cap=20, small=6).collect()}
+    assert got["d4"] == 9 and got["e"] == 20
+
+
+def test_draw_beyond_a_hundred(spark):
+    scored = spark.createDataFrame([("g", "d", f"k{i:03d}", "low") for i in range(300)], "g string, d string, k string, bucket string")
+    budgets = spark.createDataFrame([("g", "d", 250)], "g string, d string, budget long")
+    assert labelling.draw_by_bucket(scored, budgets, "g", "d", "k").count() == 250
+
+
+def test_rules_for_documents_and_joins(spark):
+    docs = spark.createDataFrame([(1, "t", "paper", "word " * 200, 2020), (2, None, "blog", " ", None), (3, "t", None, None, 2020), (4, "t", "x", "<script> few", 2020)], "doc_id long, title string, source_type string, text string, year int")
+    assert {r["rule"]: r["rows"] for r in labelling.document_violations(docs).collect()} == {"no_text": 1, "empty_text": 1, "too_few_words": 1, "few_words": 1, "noise": 1, "no_title": 1, "no_year": 1}
+    known = spark.createDataFrame([("a", "rag", "Title", "u"), ("b", "rag", "Other", "v")], "doc_id string, topic string, title string, source_url string")
+    rows = spark.createDataFrame([("s", "a"), ("t", "z"), ("u", None)], "sentence_id string, doc_id string")
+    assert {r["sentence_id"]: r["registered_title"] for r in corpus.with_titles(rows, known).collect()} == {"s": "Title", "t": None, "u": None}
+    texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, ref_doc_id string")
+    assert {tuple(r) for r in corpus.loaded(known, texts).collect()} == {("a", 2, "loaded"), ("b", 0, "missing")}
+    assert {tuple(r) for r in corpus.renumbered(known).collect()} == {("a", "rag_0001"), ("b", "rag_0002")}

@@ -55,3 +55,14 @@ def test_html_and_latex(spark):
     assert row[0]["h"] == "One & two\n[Image: cat]\n| a |  |\n| --- | --- |\n| 1\\|2 | 3 |"
     assert row[0]["l"] == r"Bold costs \$5 and $$x_{\alpha}$$ \begin{align}a&b\end{align} k  fine"
     assert row[1]["h"] is None and row[1]["l"] is None
+
+
+def test_sentences_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "text\nover lines", None), ("s2", 'with "quotes", commas', "sentence")], "sentence_id string, text string, sentence string")
+    tables.write_lines(rows, str(tmp_path / "lines"))
+    assert [r["text"] for r in tables.read_sentences(spark, str(tmp_path / "lines")).orderBy("sentence_id").collect()] == ["text\nover lines", 'with "quotes", commas']
+    tables.write_csv(rows.select("sentence_id", "text"), str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in tables.read_csv(spark, str(tmp_path / "csv")).collect()) == sorted(tuple(r) for r in rows.select("sentence_id", "text").collect())
+    (tmp_path / "bad.jsonl").write_text('{"sentence_id": "x"}\n')
+    with pytest.raises(Exception, match="missing text/sentence"):
+        tables.read_sentences(spark, str(tmp_path / "bad.jsonl")).collect()
