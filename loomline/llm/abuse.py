@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import cut_lineage
+
 #: Labelled documents used for fitting, at most, and at most as many others, which stand for texts without abuse.
 MOST_LABELLED = 5000
 #: An n-gram has a weight if it is in LEAST_DOCS texts with votes for abuse and RATIO times as frequent there as elsewhere.
@@ -180,7 +182,7 @@ def _fit(keys_at: np.ndarray, sentence: np.ndarray, text: np.ndarray, grades: np
             part = d[text] * above[k]
             gs -= part
             gc.append(part.sum())
-        g = np.concatenate([np.bincount(keys_at, gs[sentence], features) + PENALTY * w, gc]) 
+        g = np.concatenate([np.bincount(keys_at, gs[sentence], features) + PENALTY * w, gc])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
         w -= move[:features]
@@ -205,12 +207,13 @@ def train(documents: DataFrame, labels: DataFrame) -> SeverityModel:
     """
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share"))
     grade = F.when(F.col("share") <= 0, 0).when(F.col("share") >= 1, 2).otherwise(1)
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    taken = _some(votes, MOST_LABELLED)
-    known = texts.join(F.broadcast(taken), "doc_id").select("doc_id", grade.alias("grade"), "text").dropDuplicates(["doc_id"]).collect()  # MOST_LABELLED rows
-    free = _some(texts.select("doc_id").join(votes, "doc_id", "left_anti"), len(known))
-    others = texts.join(F.broadcast(free), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = sorted([tuple(r) for r in known] + [(k, 0, t) for k, t in others.collect()])
+    # documents are chosen by their ids, which one pass over the texts gives, so that the texts chosen are read once
+    ids = cut_lineage(documents.where("doc_id is not null and text is not null").select("doc_id"))
+    taken = ids.join(F.broadcast(_some(votes, MOST_LABELLED)), "doc_id").select("doc_id", grade.alias("grade"))  # MOST_LABELLED rows
+    taken = cut_lineage(taken.dropDuplicates(["doc_id"]))
+    free = _some(ids.join(votes, "doc_id", "left_anti"), taken.count()).select("doc_id", F.lit(0).alias("grade"))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(taken.union(free).distinct()), "doc_id").where("text is not null")
+    rows = sorted({r["doc_id"]: (r["doc_id"], r["grade"], r["text"]) for r in chosen.collect()}.values())
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
 
 
