@@ -18,8 +18,9 @@ from loomline.sources.stages import chained, fingerprint, stage
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Folders of a kept index, by hash of the term.
 PARTS = 64
-#: Bytes of one matrix of scores; cells of an inverted file, those a query looks into, and vectors the cells are fitted on.
-TILE, CELLS, PROBES, SAMPLE = 1 << 26, 64, 16, 20_000
+#: Bytes of one matrix of scores; cells of an inverted file, those a vector is in, those a query looks into, and vectors the
+#: cells are fitted on.
+TILE, CELLS, OWN, PROBES, SAMPLE = 1 << 26, 64, 2, 24, 20_000
 
 
 def index_text() -> Column:
@@ -225,13 +226,13 @@ def _in_cells(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
 
 
 def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """``nearest`` by an inverted file: each vector is in one cell, each query looks into its ``probes`` nearest cells.
+    """``nearest`` by an inverted file: each vector is in its OWN nearest cells, each query looks into its ``probes`` nearest.
 
     Every vector is indexed; the cells are fitted on a bounded sample. Vectors that lie outside the cells looked into are
     missed: ``nearest`` is the exact way. A hot cell is left to AQE's skew join.
     """
     centres = fit_cells(vectors, cells)
-    held = _in_cells(vectors, centres, 1)
+    held = _in_cells(vectors, centres, OWN)
     asked = _in_cells(queries, centres, probes).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "cell")
     product = F.aggregate(F.zip_with("asked", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = asked.join(held, "cell").where("query_id <> vec_id").select("query_id", "vec_id", round6(product).alias("score")).distinct()
