@@ -2,11 +2,15 @@
 
 Records that share an entity, directly or through a chain of shared keys, form one component and get one split.
 Components come from random-mate contraction: every round each vertex throws a coin, tails collapse into a neighbour
-that threw heads, and the collapsed graph goes on until no edge is left. Each round is a few equi joins.
+that threw heads, and the collapsed graph goes on until one task can hold its edges and joins what is left. Each round is
+a few equi joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from loomline.session import cut_lineage
 #: A component with more than these shares of all rows or of a kind's rows is placed one by one; a kind has RARE of all rows.
 HEAVY_SHARE, HEAVY_KIND, RARE = 0.001, 0.005, 0.01
 BINS = 1024
+#: Edges that one task joins at once; more are contracted first. It decides the number of rounds, not what is connected.
+AT_ONCE = 200_000
 
 
 def ties_to_edges(ties: DataFrame, node: str, key: str) -> DataFrame:
@@ -27,15 +33,35 @@ def ties_to_edges(ties: DataFrame, node: str, key: str) -> DataFrame:
     return pairs.join(hubs, "k").where("u <> v").select("u", "v").distinct()
 
 
-def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFrame:
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, to): every node of the edges but the least of its component, and that least node."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"], frame["v"], strict=True):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in list(parent)]
+    yield pd.DataFrame([(x, y) for x, y in found if x != y], columns=["u", "to"])
+
+
+def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200, at_once: int = AT_ONCE) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); component is a node of the same component.
 
-    Each round keeps who collapsed into whom; labels are unwound once, from the last round to the first, so that all rounds
-    together handle few more rows than the first. Repeated edges, loops and either direction are fine; no edges give no rows.
+    Each round keeps who collapsed into whom, until ``at_once`` edges are left, which one task joins. Labels are unwound
+    once, from the last round to the first, each round looking up those after it, so that all rounds together handle few more
+    rows than the first and no plan grows by more than a scan a round. Repeated edges, loops and either direction are fine; no
+    edges give no rows.
     """
     edges = cut_lineage(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     nodes, rounds = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct(), []
-    while not edges.isEmpty():
+    while (left_over := edges.count()) > at_once:
         if len(rounds) == max_rounds:
             raise RuntimeError(f"{max_rounds} rounds left edges")
         turn = len(rounds)
@@ -48,14 +74,15 @@ def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFr
         moved = edges.join(left, "u", "left").join(right, "v", "left")
         moved = moved.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v")
         edges = cut_lineage(moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if left_over:
+        kind = edges.schema["u"].dataType.simpleString()
+        rounds.append(cut_lineage(edges.coalesce(1).mapInPandas(_united, f"u {kind}, to {kind}")))
     if not rounds:
         return nodes.withColumn("component", F.col("node"))
     ends = rounds.pop()
-    for i, mates in enumerate(reversed(rounds)):
+    for mates in reversed(rounds):
         after = ends.select(F.col("u").alias("to"), F.col("to").alias("end"))
-        ends = mates.join(after, "to", "left").select("u", F.coalesce("end", "to").alias("to")).union(ends)
-        if i % 4 == 3:
-            ends = cut_lineage(ends)
+        ends = ends.union(cut_lineage(mates.join(after, "to", "left").select("u", F.coalesce("end", "to").alias("to"))))
     ends = ends.select(F.col("u").alias("node"), F.col("to").alias("component"))
     return cut_lineage(nodes.join(ends, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 

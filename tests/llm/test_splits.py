@@ -37,6 +37,25 @@ def test_components_agree_with_union_find(spark):
     assert {frozenset(g) for g in got.values()} == brute([e for e in edges if e[0] != e[1]])
 
 
+def test_contraction_and_one_task_agree_and_plans_stay_small(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(15)] + [(f"p{i}", f"p{i + 1}") for i in range(20)]
+    cut, sizes = splits.cut_lineage, []
+
+    def counted(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        return cut(df)
+
+    monkeypatch.setattr(splits, "cut_lineage", counted)
+    for at_once, most_cuts in ((splits.AT_ONCE, 3), (5, 40)):
+        sizes.clear()
+        got = {}
+        for row in splits.components(spark.createDataFrame(edges, "u string, v string"), at_once=at_once).collect():
+            got.setdefault(row["component"], set()).add(row["node"])
+        assert {frozenset(g) for g in got.values()} == brute([e for e in edges if e[0] != e[1]])
+        assert len(sizes) <= most_cuts and max(sizes) <= len(sizes) + 4  # a plan grows by a scan a round, not twofold
+
+
 def test_components_of_nothing(spark):
     assert splits.components(spark.createDataFrame([], "u string, v string")).count() == 0
     assert splits.components(spark.createDataFrame([("a", "a")], "u string, v string")).count() == 0
