@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomline.llm import garbled as g
 
 SCHEMA = "doc_id long, text string, table_name string, parts int"
@@ -36,3 +38,21 @@ def test_found_and_restored(spark):
 def test_empty_and_clean(spark):
     assert g.garbled({"t": (table(spark, []), "doc_id")}).count() == 0
     assert g.garbled({"t": (table(spark, [(i, t) for i, t in enumerate(CLEAN)]), "doc_id")}).count() == 0
+
+
+def test_margin_comes_from_all_windows_and_all_meetings(spark):
+    texts = [f"{a}{b}{c} x {d}{a}" for a in "éüêÃâ" for b in "aébßÐ" for c in "è’©™²" for d in "ñ±¤Â"]
+    windows = g.clean_windows(spark.createDataFrame([(t,) for t in texts], "text string")).persist()
+    model = g.train(windows)
+    ws = [r["w"] for r in windows.collect()]
+    runs = {r for w in ws for r in g._RUN.findall(w)}
+    wrong = [round(model.gain(a + b, s, e, n), 6) for a in runs for b in runs for s, e, n, _ in g.repeated(a + b) if model.knows(n)]
+    pairs, tried = g.meetings(windows)
+    met = [round(model.gain(r["tail"] + r["head"], s, e, n), 6) for r in pairs.collect() for _ in range(r["n"]) for s, e, n, _ in g.repeated(r["tail"] + r["head"]) if model.knows(n)]
+    assert wrong and sorted(wrong) == sorted(met) and tried == len(runs) ** 2
+    counts = spark.sparkContext.broadcast(model.counts)
+    right, times = g._tallied(windows.select("w", F.lit(1).alias("n")), counts, g._right_gains)
+    assert times.sum() == sum(len(g._right_gains(model, (w, 1))) for w in ws) and len(ws) > 50
+    found = g.validated_margin(model, windows)
+    lost = lambda m: times[right <= m].sum() / times.sum() + g.MEETINGS * 5 * sum(x > m for x in wrong) / tried
+    assert lost(found) <= min(lost(m) for m in [0.0, *right, *wrong]) + 1e-3
