@@ -1,33 +1,35 @@
-"""Encoding and decoding of texts with a public byte-level BPE vocabulary, in Spark expressions alone.
+"""Encoding and decoding of texts with a public byte-level BPE vocabulary.
 
-A text is split into words by the vocabulary's pattern. A word starts as its bytes; a fold merges the leftmost pair of the
-least rank until none is left. The state of the fold is one array: each element holds a token and the rank of its pair with
-the next one, so the least element is the next merge. Ranks are a literal of the plan: rows of a sparse matrix laid
-over each other, two array look-ups a pair. Every distinct word is folded once for the whole corpus. Words that occur often
-are looked up in a literal dictionary of bounded size; all others are joined back by word to the places where they stand.
+A text is split into words by the vocabulary's pattern, in Spark. The distinct words of an Arrow batch are then folded side by
+side in numpy: all tokens lie in one array, words apart by an end mark, and a round merges in every word its pair of the least
+rank, wherever the word holds it, until no word has a pair left. Ranks are rows of a sparse matrix laid over each other, two
+look-ups a pair. Texts are encoded where they are read: nothing is shuffled, and the driver holds the ranks alone.
 """
 
 from __future__ import annotations
 
 import json
 import string
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from loomline.session import cut_lineage
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: (?U) makes \s Unicode white space, as in the tokenizers library; LETTERS stands for the letters of a word. Loops are of
 #: single classes or possessive, which Java matches without recursion, so that a word of any length is fine.
 PATTERN = r"(?U) ?LETTERS| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in the dictionary, at most (it stands in the plan, which each task and the driver hold), and the fewest occurrences of one.
-DICTIONARY, OFTEN = 30_000, 3
-BUCKETS = 1 << 16
+#: Words of a batch's dictionary that are folded side by side, at most: their tokens fit a processor's cache. It changes no id.
+DICTIONARY = 30_000
+#: Words of the texts that are encoded at once, but for a longer text: a batch of long texts has many.
+AT_ONCE = 1_000_000
 _SHIFT = 1 << 17  # above any token id
-_NONE = (1 << 30) * _SHIFT  # the rank of no pair
+_NONE = 1 << 30  # the rank of no pair
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,8 +48,9 @@ def load(path: str = VOCABULARY) -> dict:
     pieces = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64)
-    if (np.diff(merges[:, 2]) <= 0).any():
-        raise ValueError("merged ids must rise with rank")
+    parts, made = merges[:, :2], merges[:, 2:]
+    if (np.diff(made[:, 0]) <= 0).any() or (np.isin(parts, made) & (parts >= made)).any():
+        raise ValueError("merged ids must rise with rank")  # so that no merge makes a pair of a lesser rank
     return {"byte_ids": [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], "pieces": pieces, "merges": merges}
 
 
@@ -75,73 +78,58 @@ def _rank_table(merges: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray
     return shift, slots  # tokens without merges, and the end mark, point at free slots
 
 
-def _numbers(values: np.ndarray, kind: str = "bigint") -> Column:
-    """A literal array; the optimizer folds the split."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
 
 
 @lru_cache
-def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """shift, slots; first: state of each pair of bytes (256 for the end) before any merge; ids of the bytes."""
-    merges, ids = load(path)["merges"], np.array(load(path)["byte_ids"])
-    tokens = int(max(merges[:, 2].max(), ids.max())) + 1
-    shift, slots = _rank_table(merges, tokens)
-    byte_of = {int(i): b for b, i in enumerate(ids)}
-    first = np.repeat(ids, 257) + _NONE
-    for a, b, m in merges.tolist():
-        if a in byte_of and b in byte_of:
-            first[byte_of[a] * 257 + byte_of[b]] = m * _SHIFT + a
-    return shift, slots, first, ids
-
-
-def with_tables(path: str, body) -> Column:
-    """``body(fold)``, where fold(word) gives the ids of one word that isn't empty; the literals stand in the plan once.
-
-    A value that is used twice is bound as the element of an array of one, over which an aggregate runs with the state.
-    """
-    shift, slots, first, ids = _tables(path)
-    end = len(shift) - 1  # no token: stands before and after the word
-    bundle = F.struct(_numbers(shift, "int").alias("shift"), _numbers(slots).alias("slots"), _numbers(first).alias("first"))
-    mark, mask, none, rest = F.lit(end + _NONE), F.lit(_SHIFT - 1).cast("bigint"), F.lit(_NONE), F.lit(1 << 30)
-
-    def fold_with(t: Column):
-        shifts, places, starts = t["shift"], t["slots"], t["first"]
-
-        def ranked(a: Column, b: Column) -> Column:
-            """Rank of the pair and its left token; a and b are ints."""
-            v = F.get(places, F.get(shifts, a) + b)
-            return F.when(v.bitwiseAND(mask) == a, v).otherwise(a + none)
-
-        def token(state: Column, i: Column) -> Column:
-            return F.get(state, i).bitwiseAND(mask).cast("int")
-
-        def merge(state: Column, low: Column) -> Column:
-            new = F.shiftright(low, 17).cast("int")
-
-            def at(s: Column, p: Column) -> Column:
-                pair = F.array(ranked(token(s, p - 2), new), ranked(new, token(s, p + 1)))
-                return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), pair, F.slice(s, p + 2, rest)))
+def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shift and slots of the ranks; ids of the bytes."""
+    merges, ids = load(path)["merges"], np.array(load(path)["byte_ids"], np.int64)
+    return *_rank_table(merges, int(max(merges[:, 2].max(), ids.max())) + 1), ids
 
-            return F.aggregate(F.array(F.array_position(state, low).cast("int")), state, at)
 
-        def step(state: Column, _: Column) -> Column:
-            return F.aggregate(F.array(F.array_min(state)), state, lambda s, low: F.when(low < none, merge(s, low)).otherwise(s))
+def fold(data: np.ndarray, lengths: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word has) of words, one at least and none empty: their bytes one after the other, and their lengths.
 
-        def fold(word: Column) -> Column:
-            letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-            pairs = F.zip_with(letters, F.slice(letters, F.lit(2), rest), lambda x, y: F.get(starts, F.ascii(x) * 257 + F.coalesce(F.ascii(y), F.lit(256))))
-            start = F.flatten(F.array(F.array(mark), pairs, F.array(mark)))
-            tokens = lambda done: F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: e.bitwiseAND(mask).cast("int"))
-            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, tokens)
-
-        return fold
-
-    return _let(bundle, lambda t: body(fold_with(t)))
+    A merged id is its rank. What a word still holds of its least pair is merged in one round, from the left where
+    occurrences overlap, since no merge makes a pair of a lesser rank; words without a pair leave the rounds.
+    """
+    shift, slots, byte_ids = tables
+    end, starts = len(shift) - 1, np.concatenate([[0], np.cumsum(lengths)])
+
+    def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        v = slots[shift[a] + b]
+        return np.where(v & (_SHIFT - 1) == a, v >> 17, _NONE)
+
+    # an end mark before the first word and after each; at: the byte where a token begins
+    tokens, at = np.insert(byte_ids[data], starts, end), np.insert(np.arange(len(data)), starts, -1)
+    rank, done, n = np.append(ranked(tokens[:-1], tokens[1:]), _NONE), np.full(len(data), -1, np.int64), lengths + 1
+    while len(n):
+        first = np.cumsum(n) - n + 1
+        low = np.minimum.reduceat(rank, first)
+        if (live := low < _NONE).sum() < len(n):
+            keep = np.append(True, np.repeat(live, n))
+            out = ~keep & (at >= 0)
+            done[at[out]] = tokens[out]
+            tokens, at, rank, n, low = tokens[keep], at[keep], rank[keep], n[live], low[live]
+            if not len(n):
+                break
+            first = np.cumsum(n) - n + 1
+        hit = np.flatnonzero(rank[1:] == np.repeat(low, n)) + 1
+        index = np.arange(len(hit))
+        run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-1) > 1, index, 0))  # hits side by side share a token
+        hit = hit[(index - run) % 2 == 0]
+        tokens[hit] = rank[hit]
+        keep = np.ones(len(tokens), bool)
+        keep[hit + 1] = False
+        n = np.add.reduceat(keep, first, dtype=np.int64)
+        tokens, at, rank = tokens[keep], at[keep], rank[keep]
+        hit -= np.arange(len(hit))
+        rank[hit - 1] = ranked(tokens[hit - 1], tokens[hit])
+        rank[hit] = ranked(tokens[hit], tokens[hit + 1])
+    return done[done >= 0].astype(np.int32), np.add.reduceat(done >= 0, starts[:-1], dtype=np.int64)
 
 
 @lru_cache
@@ -161,70 +149,46 @@ def split_words(text: Column, path: str = VOCABULARY) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(split_pattern(path)), 0)
 
 
-def fold_words(words: Column, rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids) of all distinct words."""
-    # outer, since a filter of empty arrays before the explode would split each text twice
-    counts = rows.select(F.explode_outer(words).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    return cut_lineage(counts.select("word", "n", with_tables(path, lambda fold: fold(F.col("word"))).alias("ids")))
-
-
-def least_count(counts: DataFrame, most: int = DICTIONARY, often: int = OFTEN) -> int | None:
-    """The least count, of ``often`` or more, that at most ``most`` words reach; none where no count does.
-
-    It comes from a histogram of counts, so no task sorts all words.
-    """
-    reached, least = 0, None
-    histogram = counts.where(F.col("n") >= often).groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k"))
-    for n, k in histogram.orderBy(F.desc("n")).collect():
-        reached += k
-        if reached > most:
-            break
-        least = n
-    return least
+def _fold_words(words: pa.Array, tables: tuple[np.ndarray, np.ndarray, np.ndarray], most: int) -> pa.ListArray:
+    """The ids of each of some distinct words, folded ``most`` at a time."""
+    ids, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), most):
+        block = words.slice(at, most).cast(pa.large_binary())
+        _, offsets, data = block.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[block.offset : block.offset + len(block) + 1]
+        found, n = fold(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets), tables)
+        ids.append(found)
+        ends.append(ends[-1][-1] + np.cumsum(n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
 
 
-def _dictionary(known: DataFrame) -> Column:
-    """A literal array of BUCKETS maps from word to ids; ``known`` has DICTIONARY rows at most."""
-    rows = known.select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b"), "word", "ids").collect()
-    buckets: list[dict | None] = [None] * BUCKETS
-    for b, word, ids in rows:
-        buckets[b] = (buckets[b] or {}) | {word: ids}
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
+def _encode_batch(words: pa.ListArray, tables: tuple[np.ndarray, np.ndarray, np.ndarray], most: int) -> pa.ListArray:
+    """The ids of texts, given as lists of their words."""
+    known = words.flatten().dictionary_encode()
+    found = _fold_words(known.dictionary, tables, most).take(known.indices)
+    return pa.ListArray.from_arrays(found.offsets.take(pc.subtract(words.offsets, words.offsets[0])), found.values)
 
 
 def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, most: int = DICTIONARY) -> DataFrame:
     """(key, ids) of every row: token ids of its text, without special tokens.
 
     Null and empty texts give an empty list; text that looks like a special token is ordinary text; repeated rows are each
-    encoded, null keys kept; further columns are ignored. Every distinct word is folded once: the ``most`` most frequent go
-    into the literal dictionary, the others are joined to the places where they stand, which know their row by two hashes
-    of its key and text. The cost of one word grows with the square of its length.
+    encoded, null keys kept; further columns are ignored. Every distinct word of an Arrow batch is folded once, ``most`` (one
+    at least) side by side. A word of many bytes takes a round for each rank that occurs in it.
     """
-    rows = texts.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    words = split_words(F.col("t"), path)
-    folded = fold_words(words, rows, path)
-    least = least_count(folded, most)
-    known = _dictionary(folded.where(F.col("n") >= least) if least else folded.limit(0))
-    others = folded.where(F.col("n") < least) if least else folded
-    others = others.select("word", "ids")
-
-    def found(word: Column) -> Column:
-        return F.try_element_at(F.get(known, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")), word)
-
-    rows = rows.withColumns({"h": F.xxhash64("k", "t"), "g": F.xxhash64("t", "k")})
-
-    def bucket(word: Column, count: Column) -> Column:
-        return F.pmod(F.xxhash64(word), count).cast("int")
-
-    missing = rows.select("h", "g", F.array_distinct(F.filter(words, lambda w: found(w).isNull())).alias("w"))
-    # a look-up in a map reads it from its start: a text's words lie in maps within a map, both of few entries
-    missing = missing.withColumn("maps", F.ceil(F.sqrt(F.size("w")) / 4)).select("h", "g", "maps", F.explode_outer("w").alias("word"))
-    own = missing.join(others, "word").withColumn("b", bucket(F.col("word"), F.col("maps"))).repartition("h", "g")
-    # the same row again gives the same words: a set
-    own = own.groupBy("h", "g", "maps", "b").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("m"))
-    own = own.groupBy("h", "g").agg(F.max("maps").alias("maps"), F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("own"))
-    ids = F.transform(words, lambda w: F.coalesce(found(w), F.try_element_at(F.try_element_at("own", bucket(w, F.col("maps"))), w)))
-    return rows.join(own, ["h", "g"], "left").select(F.col("k").alias(key), F.flatten(ids).alias("ids"))
+    known = texts.sparkSession.sparkContext.broadcast(_tables(path))
+    words = texts.select(F.col(key).alias(key), split_words(F.col(text), path).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column(1).offsets.to_numpy()[:-1] // AT_ONCE
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], len(batch)]):
+                part = batch.slice(start, stop - start)
+                ids = _encode_batch(part.column(1), known.value, max(most, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
+
+    return words.mapInArrow(run, T.StructType([words.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> Column:

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 
 from loomline.llm import bpe
@@ -28,3 +29,34 @@ def test_ids_and_round_trip(spark, most):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_are_encoded_where_they_are_read(spark):
+    """Without a job before the result is asked for, and without a shuffle in it."""
+    table = spark.createDataFrame([(1, "some text", "a", "b", "c")], SCHEMA)
+    spark.sparkContext.setJobGroup("encode", "encode")
+    try:
+        encoded = bpe.encode(table)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("encode")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert encoded.count() == 1
+
+
+def test_words_in_batches(spark, monkeypatch):
+    """Batches of one row, of null and empty texts alone, and in parts, and words that hold a pair many times, side by side and overlapping."""
+    from tokenizers import Tokenizer
+
+    tokenizer, random = Tokenizer.from_file(bpe.VOCABULARY), np.random.default_rng(1)
+    texts = [None, "", "a" * 7 + " " + "a" * 8, "abab" * 9 + "b", "sssss ssss sss ss s", "é" * 11, "   ", "a", *("".join(random.choice(list("aesnt"), n)) for n in range(1, 60))]
+    table = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in enumerate(texts)], SCHEMA)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows, words in ((1, bpe.AT_ONCE), (1000, 5), (1000, bpe.AT_ONCE)):
+        monkeypatch.setattr(bpe, "AT_ONCE", words)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = {r["doc_id"]: r["ids"] for r in bpe.encode(table, most=7).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+        assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
